@@ -16,33 +16,40 @@ COSINE = 0.93
 #: Directions of each half of the product code, and the score from which a vector belongs to a filter.
 #: At 512 and 3.7 a vector is in about 28 of 262,144 filters.
 CODE, CAP = 512, 3.7
+#: A vector with fewer filters above that score takes its best so many.
+FEWEST = 24
 SEED = 5
 #: Vectors of one filter that are compared in one piece; larger filters are split into pairs of parts.
 PART = 2048
 BROADCAST = 100_000
 
 
-def directions(dim: int, code: int = CODE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Random directions for the two halves of a vector; a filter's direction is a pair of them."""
+def directions(dim: int, code: int = CODE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random split of the components into halves, and random directions for each; a filter's direction is a pair of them."""
     rng, half = np.random.default_rng([seed, dim]), (dim + 1) // 2
-    return rng.standard_normal((code, half)), rng.standard_normal((code, dim - half))
+    return rng.permutation(dim), rng.standard_normal((code, half)), rng.standard_normal((code, dim - half))
 
 
-def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray], cap: float = CAP) -> list[np.ndarray]:
-    """For each unit vector all filters whose direction it exceeds ``cap`` with, ascending; its best one if there is none."""
-    half, out = code[0].shape[1], []
-    first, second = x[:, :half] @ code[0].T, x[:, half:] @ code[1].T
-    n = len(code[1])
+def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray], cap: float = CAP, fewest: int = FEWEST) -> list[np.ndarray]:
+    """For each unit vector all filters whose direction it exceeds ``cap`` with, ascending, or its ``fewest`` best if those are more.
+
+    A vector whose weight lies in one half exceeds few directions; its lower bar
+    keeps its chance to meet its neighbours.
+    """
+    order, one, two = code
+    half, out = one.shape[1], []
+    first, second = x[:, order[:half]] @ one.T, x[:, order[half:]] @ two.T
+    n, k = len(two), min(fewest, len(one))
+    r, c = np.nonzero(np.outer(np.arange(1, k + 1), np.arange(1, k + 1)) <= k)
     for a, b in zip(first, second, strict=True):
-        order = np.argsort(-b)
-        down = b[order]
-        rows = np.flatnonzero(a >= cap - down[0])
-        if not len(rows):
-            out.append(np.array([int(np.argmax(a)) * n + int(order[0])], "<u4"))
-            continue
+        at, to = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+        left, right = a[at], b[to]
+        best = np.sort(left[r] + right[c])
+        bar = min(cap, best[-k])
         # the sorted halves are met in step: for each first half a prefix of the second halves
-        fits = len(down) - np.searchsorted(down[::-1], cap - a[rows], "left")
-        out.append(np.sort(np.concatenate([r * n + order[:k] for r, k in zip(rows, fits, strict=True)])).astype("<u4"))
+        left = left[: np.searchsorted(-left, right[0] - bar, "right")]
+        fits = len(right) - np.searchsorted(right[::-1], bar - left - 1e-12, "left")
+        out.append(np.sort(np.concatenate([i * n + to[:m] for i, m in zip(at, fits, strict=False)])).astype("<u4"))
     return out
 
 
@@ -145,7 +152,7 @@ def embedding_links(
     Vectors with equal, non-null labels and dimensions are linked if their cosine in
     double precision is at least ``cosine``. Filters are caps around directions of a
     random product code; each vector is decoded to all filters whose direction it
-    exceeds ``cap`` with, vectors meet in filters, and pairs are verified. Equal
+    exceeds ``cap`` with (its FEWEST best at least), vectors meet in filters, and pairs are verified. Equal
     vectors are one node with a number of copies, so copies make no pairs. A pair
     counts in the first filter that it shares, so links are counted and turned into
     stars where they are found and pairs are never sent on. Filters of over ``part``
