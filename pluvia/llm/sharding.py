@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_order, materialize
+
 SHARDS = 40
 VNODES = 128
 _TOP = 1 << 64
@@ -54,7 +56,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     from 0 without gaps. The law ``key`` can't hold together with bounded loads.
 
     Where keys land is decided on the counts of the ring's arcs (shards x vnodes
-    numbers, all that reaches the driver); documents only look up their rank.
+    numbers, all that reaches the driver); documents only look up their rank, which
+    comes from a distributed sort, so an arc may hold any share of the rows.
 
     A null text has size 16 and checksum 0; a null doc_id hashes like a value. Rows
     with equal doc_ids are ranked by checksum and size; equal rows are
@@ -75,13 +78,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     def arc_of(key: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(edges, key.to_numpy(), "left") % len(edges)).astype(np.int32))
 
-    counts = {r.arc: r.n for r in rows.select(arc_of("key").alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    # the number parts rows that are equal in all else, so that any number of them can be dealt over tasks
+    rows = materialize(rows.withColumn("arc", arc_of("key")).withColumn("nth", F.monotonically_increasing_id()), "keys")
+    counts = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     made = plan(counts, points, capacity) or [(0, 0, 0, 0, 0)]
     table = F.broadcast(spark.createDataFrame([(*r, r[3] != points[r[0] % len(points)][1]) for r in made], "at int, lo long, hi long, shard int, base long, moved boolean"))
-    order = Window.partitionBy("arc").orderBy("key", F.col("doc_id").cast("string"), "text_crc32", "size")
-    ranked = rows.withColumn("arc", arc_of("key")).withColumn("rank", F.row_number().over(order) - 1)
+    ranked = in_order(rows, ["arc"], ["key", "doc_id", "text_crc32", "size", "nth"], "ring_order")
     out = ranked.join(table, (F.col("arc") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",

@@ -374,6 +374,13 @@ def test_sharding(spark, docs, shards):
         assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shards_of_rows_that_are_all_equal(spark):
+    df = spark.createDataFrame([(None, "same", None, None, None)] * 500 + [(i, "same", None, None, None) for i in range(250)], SCHEMA)
+    got = sharding.shard(df, 7).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [107] * 6 + [108]
+    assert len({(r.shard, r.slot) for r in got}) == 750 and max(r.slot for r in got) == 107
+
+
 def test_few_keys_move_when_a_shard_is_added():
     points, more = sharding.ring(40), sharding.ring(41)
     assert {p for p in more if p[1] < 40} == set(points)
