@@ -21,6 +21,8 @@ FEWEST = 24
 SEED = 5
 #: Vectors of one filter that are compared in one piece; larger filters are split into pairs of parts.
 PART = 2048
+#: Filters of up to so many vectors are compared together, so many pairs at once.
+FEW, PAIRS = 32, 1 << 16
 BROADCAST = 100_000
 
 
@@ -97,49 +99,93 @@ def _encode(single: bool, code: int, cap: float) -> Callable:
     return run
 
 
+def _met(lists: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the vectors of each pair of rows a, b share a filter before this one."""
+    flat, n = np.frombuffer(b"".join(lists), "<u4"), np.array([len(x) // 4 for x in lists], np.int64)
+    start, out = np.cumsum(n) - n, np.zeros(len(a), bool)
+
+    def spread(rows: np.ndarray) -> np.ndarray:
+        k = n[rows]
+        pair = np.repeat(np.arange(len(rows)), k)
+        return pair.astype(np.uint64) << np.uint64(32) | flat[np.arange(len(pair)) + np.repeat(start[rows] - np.cumsum(k) + k, k)]
+
+    for i in range(0, len(a), PAIRS):
+        both = np.concatenate([spread(a[i : i + PAIRS]), spread(b[i : i + PAIRS])])
+        both.sort(kind="stable")  # two ascending runs
+        out[i + (both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64)] = True
+    return out
+
+
+def _met_densely(lists: list[bytes]) -> np.ndarray:
+    """The same for all pairs of many rows, as a matrix."""
+    before = [np.frombuffer(x, "<u4") for x in lists]
+    ids = np.unique(np.concatenate(before))
+    inside = np.zeros((len(lists), len(ids)), np.float32)
+    for i, b in enumerate(before):
+        inside[i, np.searchsorted(ids, b)] = 1
+    return inside @ inside.T > 0
+
+
 def _compare(single: bool, cosine: float) -> Callable:
-    """Rows sorted by filter and part. Out: (node, other's copies) summed, and links as stars (kind 1)."""
+    """Rows sorted by filter and part. Out: (node, other's copies) summed, and links as stars (kind 1).
 
-    def settle(f, lo, hi, rows):
-        if len(rows) < 2:
-            return
-        node = np.array([r[0] for r in rows], np.int64)
-        copies = np.array([r[2] for r in rows], np.int64)
-        part = np.array([r[4] for r in rows])
-        x = _unit([r[1] for r in rows], single)
-        before = [np.frombuffer(r[3], "<u4") for r in rows]
-        before = [b[b < f] for b in before]
-        ids = np.unique(np.concatenate(before)) if before else np.zeros(0)
-        near = x @ x.T >= cosine
-        if lo != hi:
-            near &= part[:, None] != part[None, :]
-        np.fill_diagonal(near, False)
-        if len(ids) and near.any():
-            # a pair counts in the first filter that both vectors are in
-            inside = np.zeros((len(rows), len(ids)), np.float32)
-            for i, b in enumerate(before):
-                inside[i, np.searchsorted(ids, b)] = 1
-            near &= inside @ inside.T == 0
-        a, b = np.nonzero(near)
+    Most filters hold few vectors, so those of equal size are compared together.
+    """
+
+    def linked(node, copies, a, b):
         if not len(a):
             return
-        total = near @ copies
-        some = total > 0
-        u, v = local_forest(node[a[a < b]], node[b[a < b]])
-        cols = [np.concatenate([np.zeros(some.sum(), np.int32), np.ones(len(u), np.int32)]), np.concatenate([node[some], u]), np.concatenate([total[some], v])]
+        total = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
+        some = np.flatnonzero(total)
+        u, v = local_forest(node[a], node[b])
+        cols = [np.repeat(np.array([0, 1], np.int32), [len(some), len(u)]), np.concatenate([node[some], u]), np.concatenate([total[some].astype(np.int64), v])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "node", "value"])
 
+    def settle(t, heads):
+        size = np.diff(np.append(heads, len(t)))
+        dim, lo, hi, node, copies, part = (t.column(c).to_numpy() for c in ("dim", "lo", "hi", "node", "copies", "own_part"))
+        raw, lists = t.column("vec").to_pylist(), t.column("before").to_pylist()
+        pairs = []
+        for s, d in sorted({x for x in zip(size.tolist(), dim[heads].tolist(), strict=True) if x[0] > 1}):
+            at = heads[(size == s) & (dim[heads] == d)]
+            step = max(1, PAIRS // (s * s)) if s <= FEW else 1
+            for i in range(0, len(at), step):
+                rows = at[i : i + step, None] + np.arange(s)
+                x = _unit([raw[r] for r in rows.ravel()], single).reshape(*rows.shape, -1)
+                near = np.triu(x @ x.transpose(0, 2, 1) >= cosine, 1)
+                # of two parts only the pairs between them
+                near &= (lo == hi)[rows[:, :1, None]] | (part[rows][:, :, None] != part[rows][:, None, :])
+                if s > FEW and near.any():
+                    near[0] &= ~_met_densely([lists[r] for r in rows[0]])
+                k, a, b = np.nonzero(near)
+                a, b = rows[k, a], rows[k, b]
+                if s > FEW:
+                    yield from linked(node, copies, a, b)
+                else:
+                    pairs.append((a, b))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            new = ~_met(lists, a, b)
+            yield from linked(node, copies, a[new], b[new])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        held = None
         for b in batches:
-            for label, dim, f, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (label, dim, f, lo, hi) != now:
-                    if now:
-                        yield from settle(*now[2:], rows)
-                    now, rows = (label, dim, f, lo, hi), []
-                rows.append(row)
-        if now:
-            yield from settle(*now[2:], rows)
+            t = pa.Table.from_batches([b])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            if not len(t):
+                continue
+            new = np.zeros(len(t), bool)
+            new[0] = True
+            for c in ("label", "dim", "filter", "lo", "hi"):
+                x = t.column(c).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            heads = np.flatnonzero(new)
+            held = t.slice(heads[-1])
+            if len(heads) > 1:
+                yield from settle(t.slice(0, heads[-1]), heads[:-1])
+        if held is not None:
+            yield from settle(held, np.zeros(1, np.int64))
 
     return run
 
@@ -172,7 +218,8 @@ def embedding_links(
     labels = nodes.select(F.col("node").alias("of"), "label", F.octet_length("vec").alias("dim"))
     coded = nodes.select("node", "vec", "copies").mapInArrow(_encode(single, code, cap), "node long, vec binary, copies long, list binary, filters array<long>")
     coded = materialize(coded.join(labels, F.col("node") == F.col("of")).drop("of"), "coded")
-    rows = coded.select("label", "dim", F.explode("filters").alias("filter"), "node", "vec", "copies", "list")
+    rows = coded.select("label", "dim", F.posexplode("filters").alias("nth", "filter"), "node", "vec", "copies", "list")
+    rows = rows.withColumn("before", F.substring("list", F.lit(1), 4 * F.col("nth")))  # a vector's filters ascend
     large = rows.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > part)
     large = materialize(large.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("filter").alias("_f"), F.ceil(F.col("n") / part).cast("int").alias("parts")), "large_filters")
     if large.count() <= BROADCAST:
@@ -181,7 +228,7 @@ def embedding_links(
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own_part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["label", "dim", "filter", "lo", "hi"]
-    rows = rows.select("label", "dim", "filter", F.least("own_part", "other").alias("lo"), F.greatest("own_part", "other").alias("hi"), "node", "vec", "copies", "list", "own_part")
+    rows = rows.select("label", "dim", "filter", F.least("own_part", "other").alias("lo"), F.greatest("own_part", "other").alias("hi"), "node", "vec", "copies", "before", "own_part")
     found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(single, cosine), "kind int, node long, value long")
     found = materialize(found, "found")
     links = found.where("kind = 0").groupBy(F.col("node").alias("counted")).agg(F.sum("value").alias("others"))
