@@ -91,7 +91,7 @@ def _links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _meet(crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block and key. Out: links (kind 0: u, v) and the rows of crowded buckets (kind 1: fp, key)."""
-        held = None
+        held = passed = None
 
         def out(kind, block, u, v):
             k = len(u)
@@ -123,6 +123,15 @@ def _meet(crowd: int):
 
         for b in batches:
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if passed is not None:
+                # a crowded bucket's rows pass as they come and are never gathered
+                other = np.flatnonzero((now[0] != passed[0]) | (now[1] != passed[1]))
+                k = other[0] if len(other) else len(now[1])
+                if k:
+                    yield out(1, passed[0], now[2][:k], now[1][:k])
+                if not len(other):
+                    continue
+                now, passed = [x[k:] for x in now], None
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             block, key, _ = now
@@ -133,6 +142,10 @@ def _meet(crowd: int):
             if cut:
                 yield from done(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
+            if len(held[1]) > crowd:
+                passed = (int(held[0][0]), held[1][0])
+                yield out(1, passed[0], held[2], held[1])
+                held = None
         if held is not None and len(held[1]):
             yield from done(*held)
 

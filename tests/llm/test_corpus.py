@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pluvia.llm import embedding_dedup, language_id, mixing, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, warc_store
@@ -209,6 +210,19 @@ def test_simhash(spark, docs, crowd):
         assert Counter(x for x in ids if x is not None) == Counter(set(least.values())) and ids.count(None) == 2
 
 
+def test_crowded_buckets_pass_over_batches():
+    block = [0] * 3 + [1] * 40 + [1] * 2 + [2] * 30
+    key = [7] * 3 + [7] * 40 + [9] * 2 + [9] * 30
+    fp = list(range(75))
+    for size in (1, 4, 7, 100):
+        cols = [pa.array(block, pa.int32()), pa.array(key, pa.int64()), pa.array(fp, pa.int64())]
+        whole = pa.RecordBatch.from_arrays(cols, ["block", "key", "fp"])
+        found = [r for b in simhash._meet(8)(whole.slice(i, size) for i in range(0, 75, size)) for r in b.to_pylist()]
+        crowd = [(r["block"], r["v"], r["u"]) for r in found if r["kind"] == 1]
+        assert crowd == [x for x in zip(block, key, fp, strict=True) if (x[0], x[1]) in {(1, 7), (2, 9)}]
+        assert {(r["u"], r["v"]) for r in found if r["kind"] == 0} == {(1, 0), (2, 0), (44, 43)}
+
+
 def test_near_fingerprints_in_a_tight_group(spark):
     rng = random.Random(8)
     mid = rng.getrandbits(64)
