@@ -42,16 +42,17 @@ def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray], cap:
     half, out = one.shape[1], []
     first, second = x[:, order[:half]] @ one.T, x[:, order[half:]] @ two.T
     n, k = len(two), min(fewest, len(one))
+    at, to = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
+    first, second = np.take_along_axis(first, at, 1), np.take_along_axis(second, to, 1)
     r, c = np.nonzero(np.outer(np.arange(1, k + 1), np.arange(1, k + 1)) <= k)
-    for a, b in zip(first, second, strict=True):
-        at, to = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        left, right = a[at], b[to]
-        best = np.sort(left[r] + right[c])
-        bar = min(cap, best[-k])
-        # the sorted halves are met in step: for each first half a prefix of the second halves
-        left = left[: np.searchsorted(-left, right[0] - bar, "right")]
-        fits = len(right) - np.searchsorted(right[::-1], bar - left - 1e-12, "left")
-        out.append(np.sort(np.concatenate([i * n + to[:m] for i, m in zip(at, fits, strict=False)])).astype("<u4"))
+    bar = np.minimum(cap, np.partition(first[:, r] + second[:, c], -k, axis=1)[:, -k]) - 1e-12
+    for i in range(0, len(x), 32):
+        left, right, need = first[i : i + 32], second[i : i + 32], bar[i : i + 32, None]
+        # only so many of either half reach the bar with the best of the other
+        p, q = ((y + z[:, :1] >= need).sum(axis=1).max() for y, z in ((left, right), (right, left)))
+        v, f, g = np.nonzero(left[:, :p, None] + right[:, None, :q] >= need[:, None])
+        found = np.sort(v << 32 | at[i + v, f] * n + to[i + v, g])
+        out += np.split(found.astype("<u4"), np.searchsorted(found >> 32, np.arange(1, len(left))))
     return out
 
 
