@@ -10,8 +10,9 @@ from pluvia.llm.common import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or cross-document line frequency reject go."""
-    return quality_rules.quality_rules(docs, whole=True).where("kept").select("row.*")
+    """Documents that the base rules or cross-document line frequency reject go, and so do the common lines of the others; n_chars follows."""
+    kept = quality_rules.quality_rules(docs, whole=True).where("kept").select("row.*")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

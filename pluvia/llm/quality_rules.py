@@ -51,6 +51,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(hashes, lambda h: let(windows(h), of)))
 
 
+def _line(x: Column) -> Column:
+    """The hash ``h`` of a line without case and blanks, and its characters ``n`` in words."""
+    return let(F.replace(F.lower(flat(x, newline=False)), F.lit(" "), F.lit("")), lambda y: F.struct(F.xxhash64(y).alias("h"), F.length(y).alias("n")))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose hashes ``gone`` holds; lines without a word stay."""
+    stay = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, _line(x).getField("h"))))
+    return F.array_join(stay, "\n")
+
+
 def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool) -> DataFrame:
     """A narrow row per document with its counts and its lines' hashes and lengths: the one pass over the texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -67,7 +78,7 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bo
         raw,
         lambda ls: F.struct(
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-            F.transform(ls, lambda x: let(F.replace(F.lower(flat(x, newline=False)), F.lit(" "), F.lit("")), lambda y: F.struct(F.xxhash64(y).alias("h"), F.length(y).alias("n")))).alias("lines"),
+            F.transform(ls, _line).alias("lines"),
         ),
     )
     rows = rows.select("*", words.alias("w"), lines.alias("l"))
@@ -111,12 +122,14 @@ def quality_rules(
     first included); base_failed (under 10 words, or over 20 % repeated words);
     n_common_lines and common_chars (lines of the document that its host repeats
     above the limits, and their characters in words); kept; with ``whole``
-    also row, a struct of all columns of ``docs``.
+    also row, a struct of all columns of ``docs``, its text without those lines.
 
     The method: lines are normalised (lower case, without blanks) and hashed;
     distinct texts per host and line are counted; lines held by more than ``share``
     of a host's texts, and at least ``least``, are removed; a document of which they
-    take over ``depleted`` of the characters in words isn't kept.
+    take over ``depleted`` of the characters in words isn't kept. All counts and the
+    verdict are of the text as it came; the text without its common lines is in
+    ``row`` only, its other lines and a text without common ones unchanged.
 
     A null text is empty (and fails). A null host is a host of its own. Every row is
     judged by itself, so repeated rows repeat. An empty table gives no rows, extra
@@ -132,6 +145,10 @@ def quality_rules(
     rows = rows.withColumn("n_common_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     rows = rows.withColumn("common_chars", F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda total, x: total + x.getField("n")), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    if whole:
+        text = F.col("row").getField(text_col)
+        clean = F.when(F.col("n_common_lines") > 0, _without(text.cast("string"), F.col("gone.h"))).otherwise(text)
+        rows = rows.withColumn("row", F.col("row").withField(text_col, clean))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("common_chars") <= depleted * F.col("word_chars"))).alias("kept"),

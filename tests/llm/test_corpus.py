@@ -81,6 +81,31 @@ def test_quality_rules(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_common_lines_are_removed(spark, docs):
+    import corpus_pipeline
+
+    norm = lambda x: "".join(w.decode() for w in x.lower().encode().split())
+    rows = [(i, f"Home |\tNews\n\n{' '.join(f'd{i}w{k}' for k in range(20))}\n HOME | news \nlast line {i}\n", "en", "s", 7) for i in range(20)]
+    rows += [(100 + i, ["home | news", None, f"Home | News\n{' '.join(f'e{k}' for k in range(12))}"][i], "en", ["s", "s", "t"][i], None) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, whole=True).collect()}
+    for i, t, _, s, _ in rows:
+        if s == "t":
+            assert got[i].row.text == t and got[i].n_common_lines == 0
+        elif t is not None:
+            assert got[i].row.text == "\n".join(x for x in t.split("\n") if norm(x) != "home|news")
+            assert got[i].n_common_lines == sum(norm(x) == "home|news" for x in t.split("\n"))
+    assert got[101].row.text is None
+    passed = corpus_pipeline.quality(spark, df, "").collect()
+    assert {r.doc_id for r in passed} == {*range(20), 102}
+    for r in passed:
+        assert r.text == got[r.doc_id].row.text and r.n_chars == len(r.text)
+        assert r.doc_id == 102 or "home" not in r.text.lower()
+    clash = quality_rules.quality_rules(docs, whole=True, share=0.3, least=4)
+    assert found(clash, "row.doc_id") == Counter((r[0],) for r in ROWS) and any(r.n_common_lines for r in clash.collect())
+    assert not any("Python" in x or "Arrow" in x for x in clash._jdf.queryExecution().executedPlan().toString().split())
+
+
 def test_common_lines_without_broadcast(spark, docs, monkeypatch):
     want = found(quality_rules.quality_rules(docs, share=0.3, least=4))
     monkeypatch.setattr(quality_rules, "BROADCAST", -1)
