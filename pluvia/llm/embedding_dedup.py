@@ -13,11 +13,15 @@ from .common import local_forest, materialize
 from .components import connected_components
 
 COSINE = 0.93
-#: Directions of each half of the product code, and the score from which a vector belongs to a filter.
-#: At 512 and 3.7 a vector is in about 28 of 262,144 filters.
+#: Directions of each set of the product code, and the score from which a vector belongs to a filter.
+#: At 512 and 3.7 a vector exceeds it with about 28 of 262,144 filters.
 CODE, CAP = 512, 3.7
 #: A vector with fewer filters above that score takes its best so many.
 FEWEST = 24
+#: Its best directions of either set also make filters with each other, as its best filters may all share one direction.
+GRID = 5
+#: Components that vectors are spread over at least, and up to which they are rotated.
+WIDE, ROTATED = 64, 1024
 SEED = 5
 #: Vectors of one filter that are compared in one piece; larger filters are split into pairs of parts.
 PART = 2048
@@ -26,21 +30,30 @@ FEW, PAIRS = 32, 1 << 16
 BROADCAST = 100_000
 
 
-def directions(dim: int, code: int = CODE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random split of the components into halves, and random directions for each; a filter's direction is a pair of them."""
-    rng, half = np.random.default_rng([seed, dim]), (dim + 1) // 2
-    return rng.permutation(dim), rng.standard_normal((code, half)), rng.standard_normal((code, dim - half))
+def directions(dim: int, code: int = CODE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Two sets of random directions; a filter's direction is the sum of one of each.
+
+    A random rotation, into WIDE components if there are fewer, spreads a vector's
+    weight before it is split into halves, and each set is of one half. Above
+    ROTATED components directions of all components are as good and need no rotation.
+    """
+    rng, wide = np.random.default_rng([seed, dim]), max(dim, WIDE)
+    if dim > ROTATED:
+        one, two = rng.standard_normal((2, code, dim)) * np.sqrt(0.5)
+        return one, two
+    turn, half = np.linalg.qr(rng.standard_normal((wide, wide)))[0][:, :dim], (wide + 1) // 2
+    return rng.standard_normal((code, half)) @ turn[:half], rng.standard_normal((code, wide - half)) @ turn[half:]
 
 
-def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray], cap: float = CAP, fewest: int = FEWEST) -> list[np.ndarray]:
-    """For each unit vector all filters whose direction it exceeds ``cap`` with, ascending, or its ``fewest`` best if those are more.
+def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray], cap: float = CAP, fewest: int = FEWEST) -> list[np.ndarray]:
+    """For each unit vector all filters whose direction it exceeds ``cap`` with, ascending, or its ``fewest`` best if those are more, and those of its GRID best directions of either set.
 
-    A vector whose weight lies in one half exceeds few directions; its lower bar
-    keeps its chance to meet its neighbours.
+    The lower bar of a vector that exceeds few directions, and other directions than
+    the one that its best filters may share, keep its chance to meet its neighbours.
     """
-    order, one, two = code
-    half, out = one.shape[1], []
-    first, second = x[:, order[:half]] @ one.T, x[:, order[half:]] @ two.T
+    one, two = code
+    out = []
+    first, second = x @ one.T, x @ two.T
     n, k = len(two), min(fewest, len(one))
     at, to = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
     first, second = np.take_along_axis(first, at, 1), np.take_along_axis(second, to, 1)
@@ -48,10 +61,12 @@ def decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray], cap:
     bar = np.minimum(cap, np.partition(first[:, r] + second[:, c], -k, axis=1)[:, -k]) - 1e-12
     for i in range(0, len(x), 32):
         left, right, need = first[i : i + 32], second[i : i + 32], bar[i : i + 32, None]
-        # only so many of either half reach the bar with the best of the other
+        # only so many of either set reach the bar with the best of the other
         p, q = ((y + z[:, :1] >= need).sum(axis=1).max() for y, z in ((left, right), (right, left)))
         v, f, g = np.nonzero(left[:, :p, None] + right[:, None, :q] >= need[:, None])
-        found = np.sort(v << 32 | at[i + v, f] * n + to[i + v, g])
+        grid = at[i : i + 32, :GRID, None] * n + to[i : i + 32, None, :GRID]
+        grid = np.arange(len(left))[:, None, None] << 32 | grid
+        found = np.unique(np.concatenate([v << 32 | at[i + v, f] * n + to[i + v, g], grid.ravel()]))
         out += np.split(found.astype("<u4"), np.searchsorted(found >> 32, np.arange(1, len(left))))
     return out
 
@@ -199,7 +214,7 @@ def embedding_links(
     Vectors with equal, non-null labels and dimensions are linked if their cosine in
     double precision is at least ``cosine``. Filters are caps around directions of a
     random product code; each vector is decoded to all filters whose direction it
-    exceeds ``cap`` with (its FEWEST best at least), vectors meet in filters, and pairs are verified. Equal
+    exceeds ``cap`` with (its FEWEST best at least, and its GRID), vectors meet in filters, and pairs are verified. Equal
     vectors are one node with a number of copies, so copies make no pairs. A pair
     counts in the first filter that it shares, so links are counted and turned into
     stars where they are found and pairs are never sent on. Filters of over ``part``

@@ -367,6 +367,31 @@ def test_embedding_recall():
     assert np.mean(hits) > 0.97  # at the threshold itself; above it recall only grows
 
 
+@pytest.mark.parametrize("kind", ["2 components", "3 components", "first half", "second half", "uneven halves", "1 dim", "2 dims", "3 dims", "4 dims", "8 dims", "1500 dims"])
+def test_embedding_recall_of_uneven_vectors(kind):
+    rng, few = np.random.default_rng(4), kind.split()
+    dim = int(few[0]) if few[1].startswith("dim") else 64
+    scale = np.ones((400, dim))
+    if "components" in kind:
+        scale = np.zeros((400, dim))
+        for row in scale:
+            row[rng.choice(dim, int(few[0]), replace=False)] = 1
+    elif dim == 64:
+        # the halves are those of the permutation that the directions once were split by
+        order = np.random.default_rng([embedding_dedup.SEED, dim]).permutation(dim)
+        scale[:, order[32:] if few[0] != "second" else order[:32]] = 0.17 if few[0] == "uneven" else 0
+    x, y = rng.standard_normal((2, 400, dim)) * scale
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if dim > 1:
+        y -= (y * x).sum(axis=1)[:, None] * x
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    else:
+        y = x
+    code = embedding_dedup.directions(dim)
+    hits = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(embedding_dedup.decode(x, code), embedding_dedup.decode(y, code))]
+    assert np.mean(hits) > 0.97
+
+
 def test_warc(spark, tmp_path):
     rows = [(i, f"http://x/{i}", t) for i, t in enumerate(["a", "b", "a", None, "", "c\r\n\r\nd", "a", "é" * 30_000, "a"])] + [(None, None, "a"), (0, "again", "a"), (20, "u\r\nX: y", "b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("digest"))
