@@ -5,13 +5,15 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import in_order, materialize
+from .common import materialize
 
 CAPACITY = 1024
 EOS = 2
@@ -19,6 +21,8 @@ END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
 #: Chunks of text whose ids a worker remembers.
 CACHE = 400_000
+#: New sequences open after a sweep that placed less than this share of the pieces.
+FEW = 0.05
 
 
 def encoder(path: str | None = None) -> Callable[[str], bytes]:
@@ -52,17 +56,16 @@ def encoder(path: str | None = None) -> Callable[[str], bytes]:
             end = np.array([END_OF_TEXT_ID], "<u4").tobytes()
             return end.join(map(encode, text.split(END_OF_TEXT)))
         parts = text.split(" ")
-        if len(parts) == 1:
-            return known[text]
-        pieces, held = [], parts[0]
+        pieces, run, last = [], [parts[0]], parts[0][-1:]
         for p in parts[1:]:
             # only between two characters that are no white space is a cut safe
-            if not p or p[0].isspace() or not held or held[-1].isspace():
-                held = f"{held} {p}"
+            if p and last and not p[0].isspace() and not last.isspace():
+                pieces.append(" ".join(run))
+                run = ["", p]
             else:
-                pieces.append(held)
-                held = " " + p
-        pieces.append(held)
+                run.append(p)
+            last = p[-1:] or " "
+        pieces.append(" ".join(run))
         return b"".join(map(known.__getitem__, pieces))
 
     return encode
@@ -88,39 +91,82 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, from, to, sequence, offset): the pieces of a length with ranks [from, to) go to as many sequences in a row, from that one on, at that offset.
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one range in order, with ``part`` (the range), ``at`` (the place in it), ``level`` and ``total``.
 
-    Rounds go down the lengths. In each, pieces and gaps meet in order: a piece's
-    successor is the smallest gap that holds it, of pieces with the same successor
-    the one of rank k takes the k-th such gap, the gaps shrink, and the sweep
-    repeats until all pieces of the length are placed; where no gap is left, new
-    sequences open. Gaps stand as runs of sequences with equal room, so the plan
-    depends on the number of lengths and not on that of documents.
+    A gap takes the running count one step up and a piece one step down; the level
+    is the upper end of the step, counted from the start of the range, and total is
+    the count after it.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    out, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            fit = min((g for g in gaps if g >= length), default=None)
-            if fit is None:
-                new = -(-(n - rank) // (capacity // length))
-                gaps[capacity] = [(opened, new)]
-                opened += new
-                continue
-            runs = gaps.pop(fit)
-            while runs and rank < n:
-                base, count = runs.pop()
-                k = min(count, n - rank)
-                out.append((length, rank, rank + k, base, capacity - fit))
-                rank += k
-                if fit > length:
-                    gaps.setdefault(fit - length, []).append((base, k))
-                if k < count:
-                    runs.append((base + k, count - k))
-            if runs:
-                gaps[fit] = runs
+    part, at, count = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        step = 1 - 2 * b.column("kind").to_numpy().astype(np.int64)
+        after = count + np.cumsum(step)
+        n = len(step)
+        cols = [*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(np.maximum(after, after - step)), pa.array(after)]
+        yield pa.RecordBatch.from_arrays(cols, ["size", "kind", "id", "part", "at", "level", "total"])
+        at, count = at + n, int(after[-1]) if n else count
+
+
+def sweep(gaps: DataFrame, rest: DataFrame) -> DataFrame:
+    """One successor sweep of pieces (id, size) over gaps (id, size): rows (kind, id, size, piece, taken), written to the shared folder.
+
+    Gaps (kind 0) and pieces (kind 1) are range-sorted together from large to small,
+    gaps before pieces of their size. Read in that order, a piece's successor is the
+    smallest gap so far that no piece before it took. So gaps are opening and pieces
+    closing brackets, and a piece gets the gap that it closes. Brackets match if they
+    lie next to each other on one level of the running count; each range counts by
+    itself, one number a range says where its count starts, and a level is crossed
+    at most twice for each size, so no group of the second shuffle is large.
+
+    A gap's row has the piece that it takes and that piece's size, or null; a
+    piece's row has its gap as ``piece`` or null.
+    """
+    kinds = gaps.select("size", F.lit(0).alias("kind"), "id").union(rest.select("size", F.lit(1).alias("kind"), "id"))
+    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+    ranged = kinds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_steps, "size int, kind int, id long, part int, at long, level long, total long")
+    ranged = materialize(ranged, "ranged")
+    ends = ranged.groupBy("part").agg(F.max_by("total", "at").alias("total")).withColumnRenamed("part", "of")
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ends.select("of", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    level = Window.partitionBy("level").orderBy("part", "at")
+    rows = ranged.join(F.broadcast(starts), F.col("part") == F.col("of")).withColumn("level", F.col("level") + F.col("start"))
+    rows = rows.select("kind", "id", "size", *[f("kind").over(level).alias(n) for n, f in (("next", F.lead), ("last", F.lag))], F.lead("id").over(level).alias("to"), F.lag("id").over(level).alias("by"), F.lead("size").over(level).alias("need"))
+    opens, closes = (F.col("kind") == 0) & (F.col("next") == 1), (F.col("kind") == 1) & (F.col("last") == 0)
+    return materialize(rows.select("kind", "id", "size", F.when(opens, F.col("to")).when(closes, F.col("by")).alias("piece"), F.when(opens, F.col("need")).alias("taken")), "swept")
+
+
+def place(sizes: DataFrame, capacity: int = CAPACITY) -> list[DataFrame]:
+    """(id, sequence_id, offset) of the pieces (id long, size int) of up to half the capacity, as tables to be united; ids are unique and not negative.
+
+    Bulk-synchronous best fit. Pieces over half the capacity open a sequence each,
+    at offset 0, whose number is the piece's. Then rounds: a sweep gives each gap at most one
+    piece, the largest that has it for its successor, and the gaps shrink. Where
+    pieces are left that no gap holds and the sweep placed few, new sequences open,
+    as many as the remaining pieces would fill. Gaps too small for any piece leave
+    the game. Only counts and sums of a round reach the driver. Rounds grow with the
+    number of pieces in a sequence and not with that of documents.
+    """
+    spark, half = sizes.sparkSession, capacity // 2
+    big, rest = sizes.where(F.col("size") > half), sizes.where(F.col("size") <= half)
+    out: list[DataFrame] = []
+    gaps, opened = big.where(F.col("size") < capacity).select("id", (F.lit(capacity) - F.col("size")).alias("size")), 0
+
+    def left(rows: DataFrame) -> Row:
+        return rows.agg(F.count("*").alias("n"), F.coalesce(F.min("size"), F.lit(0)).alias("least"), F.coalesce(F.sum("size"), F.lit(0)).alias("sum")).first()
+
+    now, new = left(rest), 0
+    while now.n:
+        if new:
+            fresh = spark.range(-opened - new, -opened).select("id", F.lit(capacity).alias("size"))
+            gaps, opened = gaps.union(fresh), opened + new
+        swept = sweep(gaps.where(F.col("size") >= now.least), rest)
+        taken = swept.where("kind = 0 and piece is not null")
+        out.append(taken.select(F.col("piece").alias("id"), F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("size")).alias("offset")))
+        gaps = swept.where("kind = 0").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
+        rest = swept.where("kind = 1 and piece is null").select("id", "size")
+        before, now = now, left(rest)
+        new = -(-now.sum // capacity) if now.n > (1 - FEW) * before.n else 0
     return out
 
 
@@ -128,18 +174,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are tokenized with an end mark (a null or empty text is the mark
-    alone) and cut only if longer than ``capacity``. Best-fit decreasing decides,
-    for each length, which ranks go into which gaps; ranks come from a distributed
-    sort by length, doc_id and piece. Only the number of pieces of each length (at
-    most ``capacity`` numbers) reaches the driver.
+    alone) and cut only if longer than ``capacity``; bulk-synchronous best fit
+    (``place``) says where each piece lies.
 
-    A null doc_id is kept as null; repeated rows are pieces of their own. An empty
-    table gives no rows; extra columns are ignored.
+    A null doc_id is kept as null; repeated rows are pieces of their own, and pieces
+    of equal length are taken in any order. An empty table gives no rows; extra
+    columns are ignored.
     """
-    made = materialize(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
-    counts = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    found = plan(counts, capacity) or [(0, 0, 0, 0, 0)]
-    table = F.broadcast(docs.sparkSession.createDataFrame(found, "of long, lo long, hi long, first long, offset long"))
-    ranked = in_order(made, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "piece_order")
-    placed = ranked.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    made = materialize(pieces(docs, id_col, text_col, capacity, tokenizer).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    placed = place(made.select("id", F.col("length").cast("int").alias("size")), capacity)
+    facts = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    large = made.where(F.col("length") > capacity // 2).select(*facts, F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not placed:
+        return large
+    placed = reduce(DataFrame.union, placed).withColumnRenamed("id", "of")
+    small = made.where(F.col("length") <= capacity // 2).join(placed, F.col("id") == F.col("of"))
+    return large.union(small.select(*facts, "sequence_id", F.col("offset").cast("long").alias("offset")))

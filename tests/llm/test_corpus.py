@@ -318,15 +318,52 @@ def test_packing(spark, docs):
         assert at <= 64
     assert len(seqs) <= 1.05 * sum(r.length for r in got) / 64 + 1
     assert packing.pack(docs.limit(0)).count() == 0
-    rng = random.Random(4)
-    for _ in range(50):
-        counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 65), rng.randint(1, 40))}
-        places = Counter()
-        for n, lo, hi, seq, off in packing.plan(counts, 64):
-            for k in range(hi - lo):
-                for x in range(off, off + n):
-                    places[(seq + k, x)] += 1
-        assert set(places.values()) == {1} and sum(places.values()) == sum(n * c for n, c in counts.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sweep_gives_each_piece_its_successor(spark, seed):
+    rng = random.Random(seed)
+    gaps = [(i, rng.randint(1, 30)) for i in range(rng.choice([0, 40, 300]))]
+    rest = [(1000 + i, rng.randint(1, 30)) for i in range(rng.choice([1, 60, 300]))]
+    stack, want = [], {}
+    for size, kind, i in sorted([(-r, 0, i) for i, r in gaps] + [(-n, 1, i) for i, n in rest]):
+        if kind == 0:
+            stack.append(i)
+        elif stack:
+            want[i] = stack.pop()
+    tables = [spark.createDataFrame(x, "id long, size int").repartition(3) for x in (gaps, rest)]
+    got = packing.sweep(*tables).collect()
+    assert {r.id: r.piece for r in got if r.kind == 1} == {i: want.get(i) for i, _ in rest}
+    assert {r.id: (r.piece, r.taken) for r in got if r.kind == 0 and r.piece} == {g: (i, dict(rest)[i]) for i, g in want.items()}
+    assert len(got) == len(gaps) + len(rest)
+
+
+def test_packing_comes_near_best_fit_decreasing(spark):
+    rng = random.Random(9)
+    sizes = [min(64, 1 + int(rng.expovariate(1 / 20))) for _ in range(2000)]
+    room = []
+    for n in sorted(sizes, reverse=True):
+        fit = min((i for i, r in enumerate(room) if r >= n), key=lambda i: room[i], default=None)
+        if fit is None:
+            room.append(64)
+            fit = -1
+        room[fit] -= n
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size int")
+    placed = {r.id: (r.sequence_id, r.offset) for part in packing.place(df, 64) for r in part.collect()}
+    assert set(placed) == {i for i, n in enumerate(sizes) if n <= 32}
+    ends = {i: n for i, n in enumerate(sizes) if n > 32}
+    for i, (s, at) in sorted(placed.items(), key=lambda x: x[1][1]):
+        assert ends.get(s, 0) == at
+        ends[s] = at + sizes[i]
+    assert max(ends.values()) <= 64 and len(ends) <= 1.01 * len(room)
+
+
+def test_long_blanks_are_tokenized_in_linear_time():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    text = " " * 300_000 + "x" + " \n" * 50_000
+    assert np.frombuffer(packing.encoder()(text), "<u4").tolist() == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("part", [2048, 4])
