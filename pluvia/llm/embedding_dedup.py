@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ COSINE = 0.93
 #: Directions of each set of the product code, and the score from which a vector belongs to a filter.
 #: At 512 and 3.7 a vector exceeds it with about 28 of 262,144 filters.
 CODE, CAP = 512, 3.7
+#: Up to so many distinct vectors that code serves; it doubles each time their number has quadrupled, up to LARGEST.
+CODE_FOR, LARGEST = 100_000, 8192
 #: A vector with fewer filters above that score takes its best so many.
 FEWEST = 24
 #: Its best directions of either set also make filters with each other, as its best filters may all share one direction.
@@ -30,6 +33,14 @@ FEW, PAIRS = 32, 1 << 16
 BROADCAST = 100_000
 
 
+def code_for(n: int) -> tuple[int, float]:
+    """(code, cap) for ``n`` vectors: about as many vectors a filter and filters a vector at every size."""
+    code = CODE
+    while code < LARGEST and n > CODE_FOR * (code // CODE) ** 2:
+        code *= 2
+    return code, CAP if code == CODE else NormalDist().inv_cdf(1 - (1 - NormalDist().cdf(CAP)) * (CODE / code) ** 2)
+
+
 def directions(dim: int, code: int = CODE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Two sets of random directions; a filter's direction is the sum of one of each.
 
@@ -93,6 +104,8 @@ def _pack(single: bool) -> Callable:
 
 
 def _encode(single: bool, code: int, cap: float) -> Callable:
+    step = max(32, 1024 * CODE // code)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
         for b in batches:
@@ -104,8 +117,8 @@ def _encode(single: bool, code: int, cap: float) -> Callable:
                 dim = size // (4 if single else 8)
                 if dim not in known:
                     known[dim] = directions(dim, code)
-                for i in range(0, len(at), 1024):
-                    part = at[i : i + 1024]
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
                     for j, x in zip(part, decode(_unit([raw[k] for k in part], single), known[dim], cap), strict=True):
                         lists[j] = x
             flat = [x.tobytes() for x in lists]
@@ -207,14 +220,15 @@ def _compare(single: bool, cosine: float) -> Callable:
 
 
 def embedding_links(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, code: int = CODE, cap: float = CAP, part: int = PART
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, code: int | None = None, cap: float | None = None, part: int = PART
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (it is its component's smallest vec_id).
 
     Vectors with equal, non-null labels and dimensions are linked if their cosine in
     double precision is at least ``cosine``. Filters are caps around directions of a
     random product code; each vector is decoded to all filters whose direction it
-    exceeds ``cap`` with (its FEWEST best at least, and its GRID), vectors meet in filters, and pairs are verified. Equal
+    exceeds ``cap`` with (its FEWEST best at least, and its GRID), vectors meet in filters, and pairs are verified.
+    ``code`` and ``cap`` follow from the number of vectors unless they are given. Equal
     vectors are one node with a number of copies, so copies make no pairs. A pair
     counts in the first filter that it shares, so links are counted and turned into
     stars where they are found and pairs are never sent on. Filters of over ``part``
@@ -230,7 +244,11 @@ def embedding_links(
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast(f"array<{kind}>").alias("e"))
     src = src.mapInArrow(_pack(single), "vec_id long, label string, vec binary")
     own = materialize(src.withColumn("node", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull(), F.xxhash64("label", "vec"))), "vectors")
-    nodes = own.where("node is not null").groupBy("node", "label", "vec").agg(F.count("*").alias("copies"))
+    good = own.where("node is not null")
+    firsts = materialize(good.groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "nodes")
+    if code is None or cap is None:
+        code, cap = (mine if given is None else given for given, mine in zip((code, cap), code_for(firsts.count()), strict=True))
+    nodes = good.groupBy("node", "label", "vec").agg(F.count("*").alias("copies"))
     labels = nodes.select(F.col("node").alias("of"), "label", F.octet_length("vec").alias("dim"))
     coded = nodes.select("node", "vec", "copies").mapInArrow(_encode(single, code, cap), "node long, vec binary, copies long, list binary, filters array<long>")
     coded = materialize(coded.join(labels, F.col("node") == F.col("of")).drop("of"), "coded")
@@ -248,14 +266,18 @@ def embedding_links(
     found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(single, cosine), "kind int, node long, value long")
     found = materialize(found, "found")
     links = found.where("kind = 0").groupBy(F.col("node").alias("counted")).agg(F.sum("value").alias("others"))
-    roots = connected_components(found.where("kind = 1").select(F.col("node").alias("u"), F.col("value").alias("v"))).withColumnRenamed("node", "child")
-    firsts = own.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    # nodes are ordered by their smallest vec_id, so that the least node of a component says its id
+    edges = found.where("kind = 1").select(F.col("node").alias("u"), F.col("value").alias("v"))
+    for end in ("u", "v"):
+        node = F.struct("first", "node").alias(f"_{end}")
+        edges = edges.join(firsts.select(F.col("node").alias("_node"), node), F.col(end) == F.col("_node")).drop("_node", end).withColumnRenamed(f"_{end}", end)
+    roots = connected_components(edges).select(F.col("node.node").alias("child"), F.col("root.first").alias("least"))
     firsts = firsts.join(links, F.col("node") == F.col("counted"), "left").join(roots, F.col("node") == F.col("child"), "left")
-    firsts = materialize(firsts.select("node", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "nodes")
-    least = firsts.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "r")
-    firsts = firsts.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "n_links", "component")
-    out = own.join(firsts, F.col("node") == F.col("n"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    placed = materialize(firsts.select(F.col("node").alias("n"), n_links.cast("long").alias("n_links"), F.coalesce("least", "first").alias("component_id")), "components")
+    out = good.select("vec_id", "node").join(placed, F.col("node") == F.col("n")).select("vec_id", "n_links", "component_id")
+    # vectors that link with nothing have no node to be joined by
+    out = out.union(own.where("node is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -392,6 +392,46 @@ def test_embeddings(spark, part):
         assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("code", [None, 1024])
+def test_planted_embeddings_of_64_dimensions(spark, code):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((900, 64))
+    for i in range(0, 600, 3):  # a chain of three, each step near 0.93 to 0.99
+        for j in (1, 2):
+            y = rng.standard_normal(64)
+            u = x[i + j - 1] / np.linalg.norm(x[i + j - 1])
+            y -= (y @ u) * u
+            c = rng.uniform(0.925, 0.99)
+            x[i + j] = c * u + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+    x = x.astype("f4").astype(float)
+    label = np.arange(900) // 3 % 4
+    label[::50] = 7
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 600
+    roots = components(list(range(900)), lambda a, b: near[a, b])
+    order = rng.permutation(900)
+    rows = [(int(i), x[i].tolist(), int(label[i])) for i in order]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(df, code=code).collect()}
+    assert got == {i: (int(near[i].sum()), roots[i], roots[i] == i) for i in range(900)}
+
+
+@pytest.mark.parametrize("n", [10**5, 10**6, 10**7])
+def test_embedding_recall_with_larger_codes(n):
+    size, cap = embedding_dedup.code_for(n)
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (y * x).sum(axis=1)[:, None] * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    code = embedding_dedup.directions(64, size)
+    a, b = (embedding_dedup.decode(z, code, cap) for z in (x, y))
+    assert np.mean([bool(set(p.tolist()) & set(q.tolist())) for p, q in zip(a, b)]) > 0.95
+    assert np.mean([len(p) for p in a]) < 80
+
+
 def test_embedding_recall():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 64))
