@@ -18,11 +18,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder takes its place.
+    Only where that setting is missing and all tasks run on this machine, as in
+    tests, a temporary folder takes its place; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pluvia-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -23,8 +23,8 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): every node of ``edges`` that isn't the least of its component, and that least node.
 
-    ``edges`` has two long columns, u and v, without nulls; loops and repeats do no
-    harm. Neighbours are never gathered: a node's least neighbour is an aggregate
+    ``edges`` has two columns of one type, u and v, without nulls: longs, or structs
+    of them, which order by their first field; loops and repeats do no harm. Neighbours are never gathered: a node's least neighbour is an aggregate
     with partial sums, and the links are rewritten through a join whose large
     partitions Spark can split. Each round is written to the shared folder. The
     rounds are logarithmic in the size of the longest component; they end when a
