@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training takes this many labelled texts of each language at most.
-SAMPLE = 300
-MAX_LANGUAGES = 400
+#: Training takes this many labelled texts of each language at most, so many in all (of more languages than
+#: that, the most frequent), and of a text's n-grams the so many most frequent.
+SAMPLE, ROWS, KEPT = 300, 6000, 8192
+#: Texts whose n-grams are laid out as a matrix at once.
+BLOCK = 512
+#: Languages up to which the best of several random codes is looked for.
+SEARCHED = 1000
 GRAMS = (1, 2, 3)
 DIM = 1 << 15
 UNKNOWN = "und"
@@ -31,6 +35,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         bits = [[1 if i == 0 or (k >> (i - 1)) & 1 else -1 for i in range(n)] for k in range((1 << (n - 1)) - 1)]
         return np.array(bits, float).T
     rng, width = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
+    if n > SEARCHED:  # two of that many random words are far apart, and all pairs would be too many to look at
+        return rng.choice([-1.0, 1.0], (n, width))
 
     def spread(c):
         d = (width - c @ c.T) / 2
@@ -94,34 +100,60 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
-def fit(texts: list[str], labels: list[str]) -> dict:
-    """One logistic classifier for each bit of the codewords, on square roots of n-gram rates."""
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def fit(rows: list[Counts], labels: list[str]) -> dict:
+    """One logistic classifier for each bit of the codewords, on square roots of n-gram rates.
+
+    ``rows`` are n-grams and rates of texts. They stay sparse; BLOCK of them at a
+    time are laid out as a matrix.
+    """
     names = sorted(set(labels))
     code = codewords(len(names))
     if len(names) < 2:
         return {"names": names, "code": code[: len(names)], "w": np.zeros((DIM, 1), np.float32)}
-    rows = [grams(t) for t in texts]
-    used = np.flatnonzero(np.bincount(np.concatenate([at for at, _ in rows]), minlength=DIM) >= 2)
+    seen = np.zeros(DIM, np.int64)
+    for at, _ in rows:
+        seen[at] += 1
+    used = np.flatnonzero(seen >= 2)
     place = np.full(DIM, -1)
     place[used] = np.arange(len(used))
-    x = np.zeros((len(rows), len(used)), np.float32)
-    for i, (at, n) in enumerate(rows):
-        some = place[at] >= 0
-        x[i, place[at[some]]] = np.sqrt(n[some] / n.sum())
-    x *= 4.0
-    y = code[[names.index(v) for v in labels]]
-    weight = 1 / np.array([labels.count(v) for v in labels], float)
-    weight = weight[:, None] / weight.sum()
-    w, speed = np.zeros((len(used), code.shape[1])), 0
+    number = {v: i for i, v in enumerate(names)}
+    label = np.array([number[v] for v in labels])
+    y = code[label].astype(np.float32)
+    weight = 1 / np.bincount(label)[label]
+    weight = (weight / weight.sum()).astype(np.float32)[:, None]
+
+    def block(i: int) -> np.ndarray:
+        x = np.zeros((min(BLOCK, len(rows) - i), len(used)), np.float32)
+        for k, (at, rate) in enumerate(rows[i : i + BLOCK]):
+            some = place[at] >= 0
+            x[k, place[at[some]]] = 4.0 * np.sqrt(rate[some])
+        return x
+
+    kept = {i: block(i) for i in range(0, min(len(rows), 4 * BLOCK), BLOCK)}
+    w, speed = np.zeros((len(used), code.shape[1]), np.float32), 0
     for _ in range(STEPS):
-        p = -y / (1 + np.exp(np.clip(y * (x @ w), -30, 30)))
-        speed = 0.9 * speed - RATE * (x.T @ (p * weight) + RIDGE * w)
+        slope = RIDGE * w
+        for i in range(0, len(rows), BLOCK):
+            x = kept[i] if i in kept else block(i)
+            z = y[i : i + BLOCK]
+            slope += x.T @ (-z / (1 + np.exp(np.clip(z * (x @ w), -30, 30))) * weight[i : i + BLOCK])
+        speed = 0.9 * speed - RATE * slope
         w = w + speed
     full = np.zeros((DIM, code.shape[1]), np.float32)
     full[used] = 4.0 * w
     return {"names": names, "code": code, "w": full}
 
 
+def decode(f: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The loss of each codeword for the classifiers' values ``f``; a bit's loss counts by how sure its classifier is."""
+    sure = np.abs(np.tanh(f / 2)) + 1e-3
+    one, other = (np.log1p(np.exp(np.clip(z, -30, 30))) * sure / sure.sum() for z in (-f, f))
+    return (one + other).sum() / 2 + code @ ((one - other) / 2)
+
+
 def predict(model: dict, text: str | None) -> tuple[str, float, bool]:
     """(language, score, ambiguous) by loss-weighted decoding of the whole text's bits."""
     if text is None or not model["names"]:
@@ -133,9 +165,7 @@ def predict(model: dict, text: str | None) -> tuple[str, float, bool]:
     counts = np.sqrt(n / total)
     f = counts @ model["w"][at].astype(float)
     code = model["code"]
-    # a bit's loss counts by how sure its classifier is
-    sure = np.abs(np.tanh(f / 2)) + 1e-3
-    loss = (np.log1p(np.exp(np.clip(-code * f, -30, 30))) * sure).sum(axis=1) / sure.sum()
+    loss = decode(f, code)
     odds = np.exp(-4 * (loss - loss.min()))
     odds /= odds.sum()
     order = np.argsort(-odds, kind="stable")
@@ -147,31 +177,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's most frequent n-grams and their rates, packed."""
+    for b in batches:
+        out = []
+        for t in b.column(1).to_pylist():
+            at, n = grams(t)
+            rate = (n / max(1, n.sum())).astype("<f4")
+            top = np.sort(np.argsort(-n, kind="stable")[:KEPT])
+            out.append((at[top].astype("<u2").tobytes(), rate[top].tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in out], pa.binary()), pa.array([r for _, r in out], pa.binary())], ["k", "grams", "rates"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> dict:
     """The model, from a bounded sample of labelled rows outside the held-out third.
 
-    Of each language at most ``sample`` rows with small id hashes are taken, with
-    their whole texts. Reruns agree.
+    Of each language the ``sample`` rows with the smallest id hashes are taken, fewer
+    of each if they would be over ``rows`` in all; of more than ``rows`` languages
+    the most frequent are learned. Rows that repeat id and text count once. The
+    sample is chosen on ids alone; whole texts are then counted in tasks, and the
+    counts, bounded by rows x KEPT numbers, reach the driver. Reruns agree.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    known = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.select(lang.alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keys = ["lang", "o", "th"]
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    some = counts.orderBy(F.desc("n"), "lang").limit(rows).select("lang")
+    learned = some.count()
+    if not learned:
         return fit([], [])
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    rows = known.where(place < share).select(F.col(lang_col), F.col(text_col), F.xxhash64(F.col(id_col).cast("string")).alias("o"))
-    rows = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[2], r[1]))
-    taken: dict[str, int] = {}
-    out = []
-    for lang, text, _ in rows:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= sample:
-            out.append((text, lang))
-    return fit([t for t, _ in out], [v for _, v in out])
+    each = max(1, min(sample, rows // learned))
+    ids = known.select(*keys).join(F.broadcast(some), "lang").distinct()
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o", "th"))).where(F.col("nth") <= each).drop("nth")
+    chosen = known.join(F.broadcast(ids), keys).dropDuplicates(keys)
+    found = sorted((r.lang, r.o, r.th, bytes(r.grams), bytes(r.rates)) for r in chosen.select(F.struct(*keys).alias("k"), "text").mapInArrow(_counted, "k struct<lang:string,o:long,th:long>, grams binary, rates binary").select("k.*", "grams", "rates").toLocalIterator())
+    return fit([(np.frombuffer(g, "<u2").astype(np.int64), np.frombuffer(r, "<f4")) for *_, g, r in found], [r[0] for r in found])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
