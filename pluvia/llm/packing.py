@@ -72,7 +72,10 @@ def encoder(path: str | None = None) -> Callable[[str], bytes]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and an end mark, cut only if longer than ``capacity``; the first piece takes what is left over."""
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and an end mark, cut only if longer than ``capacity``; the first piece takes what is left over.
+
+    A null or empty text is the end mark alone. Null doc_ids and repeated rows stay, an empty table gives no pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([EOS], "<u4").tobytes()

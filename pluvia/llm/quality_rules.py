@@ -24,21 +24,16 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
     def twice(h: Column) -> Column:
-        """Windows with equal hashes are neighbours once sorted; 20 bits of the sort key say where each stands."""
-        low = F.lit((1 << 20) - 1)
-        key = F.transform(h, lambda x, i: x.bitwiseAND(~((1 << 20) - 1)).bitwiseOR(i.cast("long")))
-        wide = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        """Windows with equal hashes are neighbours once sorted; each carries its place along."""
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
 
-        def same(keys: Column, place) -> Column:
+        def again(keys: Column) -> Column:
             def one(p: Column, k: Column) -> Column:
-                x = F.get(h, place(p))
-                return F.coalesce(F.get(h, place(F.get(keys, k - 1))) == x, F.lit(False)) | F.coalesce(F.get(h, place(F.get(keys, k + 1))) == x, F.lit(False))
+                return F.coalesce(F.get(keys, k - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(keys, k + 1)["h"] == p["h"], F.lit(False))
 
-            return F.sort_array(F.transform(F.filter(keys, one), place))
+            return F.sort_array(F.transform(F.filter(keys, one), lambda p: p["i"]))
 
-        short = let(F.sort_array(key), lambda keys: same(keys, lambda p: p.bitwiseAND(low).cast("int")))
-        long_ = let(F.sort_array(wide), lambda keys: same(keys, lambda p: p.getField("i")))
-        return let(F.when(F.size(h) < (1 << 20), short).otherwise(long_), covered)
+        return let(let(F.sort_array(placed), again), covered)
 
     def of(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(twice(hashes))
@@ -62,7 +57,7 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(stay, "\n")
 
 
-def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool) -> DataFrame:
+def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool, copies: bool = False) -> DataFrame:
     """A narrow row per document with its counts and its lines' hashes and lengths: the one pass over the texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *[F.struct(*docs.columns).alias("row")] * whole)
@@ -85,7 +80,7 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bo
     return rows.select(
         "doc_id",
         "host",
-        F.xxhash64("text").alias("th"),
+        (F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))).otherwise(F.xxhash64("text")) if copies else F.xxhash64("text")).alias("th"),
         "w.n_words",
         (F.length("text") - F.col("w.blanks")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -99,8 +94,10 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bo
 def common_lines(facts: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(of, common): for each host that has any, the hashes of the lines above both limits.
 
-    Exact copies of a text count once in a host, as they are for deduplication to
-    settle. A host has at most (mean number of lines of its texts / share) entries.
+    Documents are told apart by the facts' ``th``. A host has at most (mean number of
+    lines of its texts / share) entries. A null host is a host of its own; lines
+    without a word and null texts have no hashes; repeated rows count once. Of an
+    empty table nothing is common.
     """
     # the null stands for the text itself
     hashes = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct("lines.h"))
@@ -112,7 +109,7 @@ def common_lines(facts: DataFrame, share: float = SHARE, least: int = LEAST) ->
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, copies: bool = False
 ) -> DataFrame:
     """One row per document, in any order: its counts, base_failed, kept and more.
 
@@ -125,7 +122,8 @@ def quality_rules(
     also row, a struct of all columns of ``docs``, its text without those lines.
 
     The method: lines are normalised (lower case, without blanks) and hashed;
-    distinct texts per host and line are counted; lines held by more than ``share``
+    distinct texts per host and line are counted, as exact copies are for deduplication
+    to settle (with ``copies`` distinct doc_ids, so that copies count each); lines held by more than ``share``
     of a host's texts, and at least ``least``, are removed; a document of which they
     take over ``depleted`` of the characters in words isn't kept. All counts and the
     verdict are of the text as it came; the text without its common lines is in
@@ -135,14 +133,16 @@ def quality_rules(
     judged by itself, so repeated rows repeat. An empty table gives no rows, extra
     columns are ignored but for ``whole``.
     """
-    facts = materialize(_facts(docs, id_col, text_col, host_col, whole), "facts")
+    facts = materialize(_facts(docs, id_col, text_col, host_col, whole, copies), "facts")
     common = common_lines(facts, share, least)
     if common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0] <= BROADCAST:
         common = F.broadcast(common)
     rows = facts.join(common, F.col("host").eqNullSafe(F.col("of")), "left")
-    gone = F.when(F.col("common").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("common"), x.getField("h"))))
+    # one pass over a host's common lines for each document, and then only those that it has
+    rows = rows.withColumn("hits", F.when(F.col("common").isNotNull(), F.array_intersect(F.transform("lines", lambda x: x.getField("h")), F.col("common"))))
+    gone = F.when(F.size("hits") > 0, F.filter("lines", lambda x: F.array_contains(F.col("hits"), x.getField("h"))))
     rows = rows.withColumn("gone", gone)
-    rows = rows.withColumn("n_common_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_common_lines", F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long"))
     rows = rows.withColumn("common_chars", F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda total, x: total + x.getField("n")), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     if whole:
@@ -152,7 +152,7 @@ def quality_rules(
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("common_chars") <= depleted * F.col("word_chars"))).alias("kept"),
-        F.greatest("n_common_lines", F.lit(0)).alias("n_common_lines"), "common_chars",
+        "n_common_lines", "common_chars",
         *["row"] * whole,
     )
 
