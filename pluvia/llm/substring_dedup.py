@@ -44,6 +44,8 @@ CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 4096
 #: Entries that a bucket holds on average.
 BUCKET = 300_000
+#: Tables with fewer entries than so many full buckets have as many buckets of at least LEAST entries, for more tasks to share them.
+SPREAD, LEAST = 512, 20_000
 
 _SENT = "kind int, bucket int, chunk long, keys binary, at binary, docs binary"
 _ASK, _TELL, _DIR = 0, 1, 2
@@ -187,7 +189,7 @@ def _windows(buckets: int) -> Callable:
             ids, ths = t.column(0).to_numpy(), t.column(1).to_numpy()
             w, at = Words(t.column(2).to_pylist()), []
             for i, told in enumerate(t.column(3).to_pylist()):
-                pos = np.concatenate([np.frombuffer(x, "<u4") for x in told]).astype(np.int64)
+                pos = np.frombuffer(told, "<u4").astype(np.int64)
                 mark = np.zeros(w.counts[i] + PERIOD, bool)
                 for d in range(PERIOD):
                     mark[np.maximum(pos - d, 0)] = True
@@ -284,17 +286,46 @@ def _told(src: DataFrame, ask: Callable, buckets: int, exact: bool, name: str) -
     return materialize(out, name)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document: one row for each, with all its places. They are merged as they come, so that a repeated row's lists pile up nowhere."""
+    now, at = None, np.zeros(0, np.uint32)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "th", "told"])
+
+    for b in batches:
+        out = []
+        for doc, th, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            new = np.frombuffer(x, "<u4")
+            if now == (doc, th):
+                at = np.union1d(at, new)
+                continue
+            if now is not None:
+                out.append((*now, at.tobytes()))
+            now, at = (doc, th), new
+        yield batch(out)
+    if now is not None:
+        yield batch([(*now, at.tobytes())])
+
+
 def _grouped(told: DataFrame) -> DataFrame:
-    return told.groupBy("doc_id", "th").agg(F.collect_list("at").alias("told"))
+    """(doc_id, th, told): one row a document; there are several to merge only where chunks hold the same row again."""
+    keys = ["doc_id", "th"]
+    return told.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged, "doc_id long, th long, told binary")
+
 
+def _buckets(entries: float) -> int:
+    return 1 + int(max(entries // BUCKET, min(SPREAD, entries // LEAST)))
 
-def _kept(text: bytes | None, told: list[bytes] | None) -> tuple[int, int, bytes]:
+
+def _kept(text: bytes | None, told: bytes | None) -> tuple[int, int, bytes]:
     """The number of words, how many go, and the rest."""
     words = (text or b"").split()
     if not told:
         return len(words), 0, b" ".join(words)
     cover = np.zeros(len(words) + WINDOW, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in told])).astype(np.int64)
+    at = np.frombuffer(told, "<u4").astype(np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
     stay = np.flatnonzero(np.cumsum(cover)[: len(words)] == 0).tolist()
@@ -314,10 +345,10 @@ def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _hash(text).alias("th"), text.cast("binary").alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + int(size // (15 * BUCKET))
+    buckets = _buckets(size / 15)
     told = _told(src, _anchors(buckets), buckets, False, "anchors")
     entries = told.agg(F.sum(F.octet_length("at"))).first()[0] or 0
-    buckets = 1 + int(entries // (2 * BUCKET))
+    buckets = _buckets(entries / 2)
     told = _told(src.join(_grouped(told), ["doc_id", "th"]), _windows(buckets), buckets, True, "windows")
     return _grouped(told)
 
@@ -347,18 +378,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words gone: such a text becomes its kept words joined by single spaces; others stay as they are.
 
-    Rows stay, also those of which nothing is left.
+    Rows stay, also those of which nothing is left, and so do null texts and rows
+    without a doc_id. An empty table gives no rows; columns keep their names and order.
     """
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, told: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _kept(t.encode(), list(x))[2].decode() for t, x in zip(text, told, strict=True)], dtype=object)
+        return pd.Series([None if x is None else _kept(t.encode(), x)[2].decode() for t, x in zip(text, told, strict=True)], dtype=object)
 
-    text = F.col(text_col).cast("string")
-    at = _places(docs, id_col, text_col).select(F.col("doc_id").alias("_of"), F.col("th").alias("_th"), F.col("told").alias("_told"))
-    rows = docs.join(at, (F.col(id_col).cast("long") == F.col("_of")) & (_hash(text) == F.col("_th")), "left")
-    new = F.when(F.col("_told").isNotNull(), cut(F.when(F.col("_told").isNotNull(), text), F.col("_told"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, new).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
+    rows = own.join(_places(docs, id_col, text_col), ["doc_id", "th"], "left")
+    text, some = F.col("row").getField(text_col), F.col("told").isNotNull()
+    new = F.when(some, cut(F.when(some, text.cast("string")), F.col("told"))).otherwise(text)
+    return rows.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
 ORACLE = r"""
