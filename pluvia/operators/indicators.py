@@ -14,22 +14,52 @@ NAMES = tuple(f"bio{i:02d}" for i in range(1, 20))
 PER_VARIABLE, STRICT = "per_variable", "strict"
 
 
-def _staged(df: DataFrame, wanted: set[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """What several indicators share, computed once in a projection below theirs."""
+def _staged(df: DataFrame, wanted: set[str], precision: str) -> tuple[DataFrame, dict[str, Column]]:
+    """What several indicators share, computed once in projections below theirs.
+
+    The first holds sums, plain extremes and the twelve quarter sums of either
+    series, the second the extreme quarters. A quarter's own extreme needs no search
+    for its month: the mean of the wettest quarter's rain is the largest sum over three.
+    """
     tas, tasmax, tasmin, pr = (months(s) for s in SERIES)
-    shared = {
-        "_tas_mean": ({"bio01", "bio04"}, lambda: P.row_mean(tas)),
-        "_pr_mean": ({"bio15"}, lambda: P.row_mean(pr)),
-        "_bio02": ({"bio02", "bio03"}, lambda: P.row_mean(P.elementwise_diff(tasmax, tasmin))),
+    temps, rains = {"bio08", "bio09", "bio10", "bio11", "bio18", "bio19"}, {"bio08", "bio09", "bio16", "bio17", "bio18", "bio19"}
+    first = {
+        "_tas_sum": ({"bio01", "bio04", *temps}, lambda: P.row_sum(tas)),
+        "_pr_sum": ({"bio12", "bio13", "bio14", "bio15", *rains}, lambda: P.row_sum(pr)),
+        "_bio02": ({"bio02", "bio03"}, lambda: P.row_mean(P.elementwise_diff(tasmax, tasmin)).cast(precision)),
         "_bio05": ({"bio03", "bio05", "bio07"}, lambda: P.row_max(tasmax)),
         "_bio06": ({"bio03", "bio06", "bio07"}, lambda: P.row_min(tasmin)),
-        "_wettest": ({"bio08", "bio16"}, lambda: P.rolling_quarter_argmax(pr)),
-        "_driest": ({"bio09", "bio17"}, lambda: P.rolling_quarter_argmin(pr)),
-        "_warmest": ({"bio10", "bio18"}, lambda: P.rolling_quarter_argmax(tas)),
-        "_coldest": ({"bio11", "bio19"}, lambda: P.rolling_quarter_argmin(tas)),
+        **{f"_tas_q{i}": (temps, lambda x=x: x) for i, x in enumerate(P.quarter_sums(tas))},
+        **{f"_pr_q{i}": (rains, lambda x=x: x) for i, x in enumerate(P.quarter_sums(pr))},
+    }
+
+    def extreme(series: str, of) -> Column:
+        return F.when(F.col(f"_{series}_sum").isNotNull(), of(*_quarters(series)))
+
+    second = {
+        "_tas_mean": ({"bio01", "bio04"}, lambda: (F.col("_tas_sum") / F.lit(12)).cast(precision)),
+        "_pr_mean": ({"bio15"}, lambda: (F.col("_pr_sum") / F.lit(12)).cast(precision)),
+        "_wettest": ({"bio08", "bio16"}, lambda: extreme("pr", F.greatest)),
+        "_driest": ({"bio09", "bio17"}, lambda: extreme("pr", F.least)),
+        "_warmest": ({"bio10", "bio18"}, lambda: extreme("tas", F.greatest)),
+        "_coldest": ({"bio11", "bio19"}, lambda: extreme("tas", F.least)),
     }
-    need = {k: make() for k, (users, make) in shared.items() if users & wanted}
-    return df.select("*", *[c.alias(k) for k, c in need.items()]), {k: F.col(k) for k in need}
+    names: list[str] = []
+    for shared in (first, second):
+        need = {k: make() for k, (users, make) in shared.items() if users & wanted}
+        df = df.select("*", *[c.alias(k) for k, c in need.items()])
+        names += need
+    return df, {k: F.col(k) for k in names}
+
+
+def _quarters(series: str) -> list[Column]:
+    return [F.col(f"_{series}_q{i}") for i in range(12)]
+
+
+def _there(value: Column, series: str, other: str) -> Column:
+    """The mean of ``other`` over the first quarter in which ``series`` sums to ``value``."""
+    at = F.array_position(F.array(*_quarters(series)), value) - 1
+    return F.get(F.array(*_quarters(other)), at.cast("int")) / F.lit(3)
 
 
 def bioclim(df: DataFrame, outputs: Iterable[str] = NAMES, nodata_policy: str = PER_VARIABLE, precision: str = "double", keep: Iterable[str] = ("pixel_id",)) -> DataFrame:
@@ -55,7 +85,7 @@ def bioclim(df: DataFrame, outputs: Iterable[str] = NAMES, nodata_policy: str =
     used |= {"tasmin"} if wanted & {"bio02", "bio03", "bio06", "bio07"} else set()
     used |= {"pr"} if wanted & {"bio08", "bio09", *NAMES[11:]} else set()
     check_wide(df, tuple(s for s in SERIES if nodata_policy == STRICT or s in used))
-    staged, s = _staged(df, wanted)
+    staged, s = _staged(df, wanted, precision)
     tas, pr = months("tas"), months("pr")
 
     def ratio(a: Column, b: Column) -> Column:
@@ -69,18 +99,18 @@ def bioclim(df: DataFrame, outputs: Iterable[str] = NAMES, nodata_policy: str =
         "bio05": lambda: s["_bio05"],
         "bio06": lambda: s["_bio06"],
         "bio07": lambda: s["_bio05"] - s["_bio06"],
-        "bio08": lambda: P.quarter_mean(tas, s["_wettest"]),
-        "bio09": lambda: P.quarter_mean(tas, s["_driest"]),
-        "bio10": lambda: P.quarter_mean(tas, s["_warmest"]),
-        "bio11": lambda: P.quarter_mean(tas, s["_coldest"]),
-        "bio12": lambda: P.row_sum(pr),
-        "bio13": lambda: P.row_max(pr),
-        "bio14": lambda: P.row_min(pr),
-        "bio15": lambda: F.when(s["_pr_mean"] > 0, F.lit(100) * P.row_std(pr, s["_pr_mean"]) / F.nullif(s["_pr_mean"], F.lit(0.0))),
-        "bio16": lambda: P.quarter_mean(pr, s["_wettest"]),
-        "bio17": lambda: P.quarter_mean(pr, s["_driest"]),
-        "bio18": lambda: P.quarter_mean(pr, s["_warmest"]),
-        "bio19": lambda: P.quarter_mean(pr, s["_coldest"]),
+        "bio08": lambda: _there(s["_wettest"], "pr", "tas"),
+        "bio09": lambda: _there(s["_driest"], "pr", "tas"),
+        "bio10": lambda: s["_warmest"] / F.lit(3),
+        "bio11": lambda: s["_coldest"] / F.lit(3),
+        "bio12": lambda: s["_pr_sum"],
+        "bio13": lambda: F.when(s["_pr_sum"].isNotNull(), F.greatest(*pr)),
+        "bio14": lambda: F.when(s["_pr_sum"].isNotNull(), F.least(*pr)),
+        "bio15": lambda: F.when(s["_pr_mean"] > 0, F.lit(100) * P.row_std(pr, s["_pr_mean"]) / F.nullif(s["_pr_mean"], F.lit(0.0).cast(precision))),
+        "bio16": lambda: s["_wettest"] / F.lit(3),
+        "bio17": lambda: s["_driest"] / F.lit(3),
+        "bio18": lambda: _there(s["_warmest"], "tas", "pr"),
+        "bio19": lambda: _there(s["_coldest"], "tas", "pr"),
     }
     whole = F.lit(True)
     if nodata_policy == STRICT:
