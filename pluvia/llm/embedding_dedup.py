@@ -267,7 +267,7 @@ def embedding_links(
     found = materialize(found, "found")
     links = found.where("kind = 0").groupBy(F.col("node").alias("counted")).agg(F.sum("value").alias("others"))
     # nodes are ordered by their smallest vec_id, so that the least node of a component says its id
-    edges = found.where("kind = 1").select(F.col("node").alias("u"), F.col("value").alias("v"))
+    edges = found.where("kind = 1").select(F.col("node").alias("u"), F.col("value").alias("v")).distinct()
     for end in ("u", "v"):
         node = F.struct("first", "node").alias(f"_{end}")
         edges = edges.join(firsts.select(F.col("node").alias("_node"), node), F.col(end) == F.col("_node")).drop("_node", end).withColumnRenamed(f"_{end}", end)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import local_forest, materialize, popcount
@@ -42,16 +42,23 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, th, fp): the fingerprint of every whole text as a signed long, and a hash that tells texts apart.
+
+    A null text has the fingerprint of an empty one, zero. Rows stay as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "th", "fp"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id long, th long, fp long")
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+
+def _hash(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text.cast("string")), F.lit(0))
 
 
 def _mask(lo: int, hi: int) -> int:
@@ -169,7 +176,10 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 
 def near_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of distinct fingerprints within the radius."""
+    """(u, v): links whose components are those of all pairs of distinct fingerprints within the radius.
+
+    ``fps`` has one row, without nulls, for each fingerprint; none gives no links.
+    """
     rows = _ball(fps).repartition("block", "key").sortWithinPartitions("block", "key", "fp")
     found = materialize(rows.mapInArrow(_meet(crowd), "kind int, block int, u long, v long"), "met")
     links = found.where("kind = 0").select("u", "v")
@@ -197,25 +207,42 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest. Repeated rows give repeated rows. An empty table gives no rows; extra
     columns are ignored.
     """
-    own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(nodes.select("fp"), crowd))
-    nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    nodes = materialize(nodes, "nodes")
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    nodes = nodes.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("node"), "component_id")
-    out = own.join(nodes, F.col("fp") == F.col("node"))
+    own, placed = _placed(docs, id_col, text_col, crowd)
+    out = own.join(placed.select(F.col("fp").alias("node"), "component_id"), F.col("fp") == F.col("node"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (doc_id, th, fp), and each distinct fingerprint once with ``first``, its smallest doc_id, and component_id.
+
+    Nodes are ordered by their smallest doc_id (those without any come last), so
+    that the least node of a component says its id and none is gathered by it.
+    """
+    own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    links = near_links(nodes.select("fp"), crowd).distinct()  # a pair meets in several buckets
+    for end in ("u", "v"):
+        node = F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias(f"_{end}")
+        links = links.join(nodes.select(F.col("fp").alias("_fp"), node), F.col(end) == F.col("_fp")).drop("_fp", end).withColumnRenamed(f"_{end}", end)
+    roots = connected_components(links).select(F.col("node.fp").alias("of"), F.struct(F.col("root.first").alias("id")).alias("root"))
+    placed = nodes.join(roots, F.col("fp") == F.col("of"), "left")
+    least = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("root.id"))
+    return own, materialize(placed.select("fp", "first", least.alias("component_id"), F.col("root").isNull().alias("is_least")), "components")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the first with the smallest doc_id.
+    """``docs`` with one row of each component: one with the smallest doc_id and a text of that component.
 
     Rows without a doc_id are kept, as nothing tells which of them stays. Of rows
-    that repeat a doc_id one stays.
+    that repeat a doc_id one stays at most, which is the least of its component. An
+    empty table gives no rows; columns keep their names and order.
     """
-    found = simhash_components(docs, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    own, placed = _placed(docs, id_col, text_col)
+    least = placed.where(F.col("is_least") & F.col("first").isNotNull()).select(F.col("fp").alias("_fp"), "first")
+    stay = own.join(least, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("first"))).groupBy("doc_id").agg(F.min("th").alias("th"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), _hash(F.col(text_col)).alias("_th"))
+    # the hashes are compared in a way that is no key of the join, so that rows move once and are dealt by id alone, as the window wants
+    kept = rows.join(stay, (F.col("_id") == F.col("doc_id")) & (F.col("_th").bitwiseXOR(F.col("th")) == 0), "left_semi")
+    whole = F.xxhash64(F.col("row"))
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(whole))).where("_n = 1")
+    return once.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
