@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with the names that operators use themselves.
-CLASH = ("n_words", "size", "kept", "rank", "fp", "th", "copies", "key", "row", "host", "told", "shard", "length")
+CLASH = ("n_words", "size", "kept", "rank", "fp", "th", "copies", "key", "row", "host", "told", "shard", "length", "_n", "_stay", "_told", "_of", "_th", "_id", "_size", "_nth", "_source", "id", "of", "node", "first", "part", "n", "group_rows", "_rank")
 
 
 def cases():
@@ -112,6 +112,21 @@ def test_common_lines_without_broadcast(spark, docs, monkeypatch):
     assert found(quality_rules.quality_rules(docs, share=0.3, least=4)) == want
 
 
+def test_copies_count_each_if_asked(spark):
+    rows = [(i, "menu bar\n" + " ".join(f"x{k}" for k in range(20)), "en", "s", 1) for i in range(12)] + [(100 + i, f"text {i} " + " ".join(f"{i}y{k}" for k in range(20)), "en", "s", 1) for i in range(12)]
+    df = spark.createDataFrame(rows + rows[:3], SCHEMA)
+    once = quality_rules.quality_rules(df).collect()
+    each = {r.doc_id: r.n_common_lines for r in quality_rules.quality_rules(df, copies=True).collect()}
+    assert not any(r.n_common_lines for r in once) and len(once) == 27
+    assert each == {i: 2 if i < 100 else 0 for i, *_ in rows}
+
+
+def test_repeat_windows_of_a_text_over_a_million_words(spark):
+    t = " ".join(f"v{i}" for i in range(1_100_000)) + " v5 v6 v7 v8 v9 v10"
+    df = spark.createDataFrame([(1, t, "en", "s", 1)], SCHEMA)
+    assert quality_rules.quality_rules(df).first().n_repeat_words == 12
+
+
 def test_repeat_windows_in_a_very_long_text(spark):
     t = " ".join(f"v{i % 700}" for i in range(30_000))
     df = spark.createDataFrame([(1, t, "en", "s", 1)], SCHEMA)
@@ -148,6 +163,42 @@ def test_language_id(spark, docs):
     assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
 
 
+def test_language_decoding_takes_the_nearest_codeword():
+    rng = np.random.default_rng(2)
+    for n in (2, 4, 7, 60):
+        code = language_id.codewords(n)
+        for _ in range(50):
+            f = rng.normal(0, 3, code.shape[1])
+            sure = [abs(np.tanh(v / 2)) + 1e-3 for v in f]
+            want = [sum(np.log(1 + np.exp(-c * v)) * s for c, v, s in zip(word, f, sure)) / sum(sure) for word in code]
+            assert language_id.decode(f, code) == pytest.approx(want)
+        for i, word in enumerate(code):  # one flipped bit of a wide code is corrected
+            f = 4.0 * word
+            if n == 60:
+                f[0] *= -0.5
+            assert np.argmin(language_id.decode(f, code)) == i
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(got) > 30 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_languages_of_many_labels_and_repeated_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghij", k=30)) + " " + "".join(rng.choices("klmn", k=9)), f"l{i % 1000}", "s", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("klmn abc").alias("text"), F.lit("l7").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    model = language_id.train(df.union(hot))
+    assert len(model["names"]) > 900 and model["w"].shape[1] == model["code"].shape[1] == 100
+    few = language_id.train(df, rows=50)
+    assert len(few["names"]) == 50
+    assert language_id.predict(few, "abc")[0] in few["names"]
+    out = language_id.identify(df.limit(40)).collect()
+    assert len(out) == 40 and all(0 <= r.score <= 1 for r in out)
+
+
 def test_token_counts(spark, docs):
     vocab = token_counts.vocabulary()
     known = set(vocab)
@@ -196,6 +247,50 @@ def test_mixing(spark, docs):
     assert mixing.targets([10, 10, 1000], [5, 2, 1]) == [30, 30, 960] and mixing.targets([0, 0], [1, 1]) == [0, 0]
 
 
+@pytest.mark.parametrize("broadcast", [50_000, -1])
+def test_mixing_of_many_sources(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST", broadcast)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 9, 40])), "en", f"s{rng.randrange(400)}" if i % 3 else "hot", 1) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words(t))
+    names = sorted(sizes)
+    want = dict(zip(names, mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 40 for s in names)
+    # prefix sums by hand: one boundary each, crossed by whole numbers
+    hot = sorted((r.size, i) for i, r in enumerate(got) if r.source == "hot")
+    copies = [got[i].copies for _, i in hot]
+    each = round(want["hot"]) / sizes["hot"]
+    assert abs(sum(copies) - each * len(hot)) < 1 and set(copies) <= {int(each), int(each) + 1}
+
+
+def test_whole_copies_at_large_counts(spark):
+    row = spark.sql("SELECT cast(3999999 AS decimal(18,0)) * cast(1 AS decimal(18,0)) div cast(4000000 AS decimal(18,0)) AS a, (cast(99999999999 AS decimal(18,0)) * cast(99999999999999 AS decimal(18,0)) + 1) div cast(99999999999999 AS decimal(18,0)) AS b").first()
+    assert tuple(row) == (0, 99999999999)
+
+
+def test_mixed_rows_that_repeat(spark):
+    rows = [(1, "a b c", "en", "s", 1)] * 50 + [(1, "other d e", "en", "s", i) for i in range(9)] + [(None, None, None, None, None)] * 20 + [(2, "x y z", "en", "t", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[(r.doc_id, r.size)] += r.copies
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    first = Counter(map(tuple, out.collect()))
+    got = Counter()
+    for (i, t, *_), n in first.items():
+        got[(i, len(words(t)))] += n
+    assert got == +want and Counter(map(tuple, mixing.mixed(df).collect())) == first
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 def components(values, near):
     parent = list(range(len(values)))
 
@@ -290,6 +385,15 @@ def test_substrings(spark, docs, small, monkeypatch):
         assert substring_dedup.Words([b"y" * 600_000 + b" z", None, b"z"]).hashes()[1:].tolist() == [substring_dedup.Words([b"z"]).hashes()[0]] * 2
 
 
+def test_rows_that_repeat_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_DOCS", 5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, passage, "en", "s", 1)] + [(2, f"a b {passage} c", "en", "s", 1)] * 200 + [(3, "nothing else " * 3, "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == {(1, 30, 0): 1, (2, 33, 30): 200, (3, 6, 0): 1}
+
+
 def test_packing(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -496,7 +600,33 @@ def test_warc(spark, tmp_path):
     assert warc_store.archive(df.limit(0)).count() == 0
     bad = payloads.withColumn("packed", F.lit(zlib.compress(b"other")))
     with pytest.raises(Exception, match="digest"):
-        warc_store.originals(records, bad).mapInArrow(warc_store._read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").collect()
+        warc_store.read_back(records, bad).collect()
+    wrong = records.withColumn("header", F.expr("cast(replace(cast(header AS string), 'WARC-Type: revisit', 'WARC-Type: response') AS binary)"))
+    with pytest.raises(Exception, match="length"):
+        warc_store.read_back(wrong, payloads).collect()
+
+
+def test_warc_of_a_common_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_store, "CROWD", 16)
+    rows = [(None, f"u{i}", "same") for i in range(300)] + [(i, f"v{i}", "same") for i in range(5, 200)] + [(900 + i, "", "tiny") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc_store.archive(df).collect())
+    assert got[(None, "response", None)] == 300 and got[(5, "response", None)] == 1 and got[(199, "revisit", 5)] == 1 and sum(got.values()) == len(rows)
+    records, payloads = warc_store.build(df, min_revisit=5)
+    assert payloads.count() == 2 and {r.copies for r in payloads.collect()} == {31, 3}  # both are too small to be revisited
+    files = warc_store.export(records, payloads, f"file://{tmp_path}/w", file_bytes=3000).collect()
+    assert sum(r.records for r in files) == len(rows) and len(files) > 5
+    back = [bytes(r.record) for r in warc_store.read_files(spark, f"file://{tmp_path}/w").collect()]
+    assert len(back) == len(rows) and Counter(x.endswith(b"same\r\n\r\n") for x in back) == {True: 495, False: 40}
+
+
+def test_many_records_in_one_file_are_read_in_linear_time():
+    import gzip
+
+    one = gzip.compress(b"x" * 500, mtime=0)
+    assert sum(len(x) for x in warc_store.unpacked(one * 60_000)) == 30_000_000
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc_store.unpacked(one[:-3]))
 
 
 @pytest.mark.parametrize("shards", [1, 7, 40])
@@ -522,6 +652,37 @@ def test_shards_of_rows_that_are_all_equal(spark):
     assert len({(r.shard, r.slot) for r in got}) == 750 and max(r.slot for r in got) == 107
 
 
+def walk(keys, shards):
+    """A plain walk of every key: round by round each waiting key asks the shard of the point that it has come to."""
+    points = sharding.ring(shards)
+    places = [p - (1 << 63) for p, _ in points]
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    waiting = [(int(np.searchsorted(places, k)) % len(points), k, i) for k, i in sorted(keys)]
+    waiting, home, step = sorted(waiting, key=lambda x: (x[0], x[1])), {}, 0
+    while waiting:
+        later = []
+        for arc, k, i in waiting:
+            s = points[(arc + step) % len(points)][1]
+            if room[s]:
+                room[s] -= 1
+                home[i] = s
+            else:
+                later.append((arc, k, i))
+        waiting, step = later, step + 1
+    return home
+
+
+def test_shards_equal_a_plain_walk_and_few_rows_move(spark):
+    df = spark.createDataFrame([(i, "t", None, None, None) for i in range(1000)], SCHEMA)
+    keys = [(r.k, r.doc_id) for r in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("ring")).alias("k")).collect()]
+    homes = {}
+    for n in (40, 41):
+        homes[n] = {r.doc_id: r.shard for r in sharding.shard(df, n).collect()}
+        assert homes[n] == walk(keys, n)
+    moved = sum(homes[40][i] != homes[41][i] for i in range(1000))
+    assert 24 <= moved <= 120  # a shard's 24 rows must move; bounded loads push some more along
+
+
 def test_few_keys_move_when_a_shard_is_added():
     points, more = sharding.ring(40), sharding.ring(41)
     assert {p for p in more if p[1] < 40} == set(points)
