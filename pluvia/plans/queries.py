@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,8 @@ from ..functions import decode as D
 from ..functions import primitives as P
 from ..functions.months import MONTHS, SERIES, arrays_to_wide, column, complete, long_to_wide, months, wide_to_arrays, wide_to_long
 from ..operators.indicators import NAMES, STRICT, bioclim
+from ..sources.raster import Grid, read_months, read_rasters, write_bio, write_rasters
+from ..sources.tiff import EPSG_4326
 from . import oracle as O
 from .session import tuned
 from .views import long, long_sql, wide, wide_sql
@@ -144,3 +149,73 @@ _add(
     + ", ".join("cast(" + " + ".join(f"({c} is not null)::int" for c in O.cols(s)) + f" as int) as n_{s}" for s in SERIES)
     + ", " + " and ".join(f"{c} is not null" for c in _WIDE) + " as complete from px",
 )
+
+# The raster source and sink: pixels go to 48 files, a grid GRID cells wide, and come back from them.
+GRID = 50
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that all executors mount: below ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root.removeprefix("file://") if root else None
+    if root is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    out = tempfile.mkdtemp(prefix="pluvia-rasters-", dir=root)
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    return out
+
+
+def _rasters(spark: SparkSession, px: DataFrame) -> tuple[dict[str, list[str]], Grid, str]:
+    """``px`` (pixel_id and 48 columns) as 48 files."""
+    last = px.agg(F.max("pixel_id")).first()[0] or 0
+    grid = Grid(GRID, int(last) // GRID + 1, ((0.5, 0.5, 0.0), (0.0, 0.0, 0.0, -20.0, 40.0, 0.0), EPSG_4326), None)
+    out = _folder(spark)
+    write_rasters(px, out, grid, {c: c for c in _WIDE})
+    return {s: [f"{out}/{column(s, m)}.tif" for m in MONTHS] for s in SERIES}, grid, out
+
+
+def _as_stored(sql: str) -> str:
+    """48 columns of ``sql`` as single precision, which files hold."""
+    return f"select pixel_id, {', '.join(f'cast(cast({c} as float) as double) as {c}' for c in _WIDE)} from ({sql})"
+
+
+def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, _ = _rasters(spark, wide(tuned(spark), sf_dir, "px_part"))
+    pixels = read_months(spark, files, raw=True, tileSize=16).where("x >= 5 and x < 45 and y >= 3")
+    return arrays_to_wide(pixels).where(F.coalesce(*months("pr")).isNotNull())
+
+
+_add("raster_read_block", _block, f"{_as_stored(wide_sql('px_part'))} where pixel_id % {GRID} between 5 and 44 and pixel_id >= {3 * GRID}")
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored integers with missing marks in files, decoded by the source."""
+    raw = _raw(tuned(spark), sf_dir)
+    cells = [F.max(F.when(F.col("month") == m, F.col("raw"))).alias(column(s, m)) for s in SERIES for m in MONTHS]
+    files, _, _ = _rasters(spark, raw.groupBy("pixel_id").agg(*cells))
+    pixels = wide_to_long(arrays_to_wide(read_months(spark, files), kind="float"))
+    return pixels.select("pixel_id", "month", F.col("tas").cast("double").alias("tas"), F.col("pr").cast("double").alias("pr")).where("pr is not null")
+
+
+def _value(by: D.Scale) -> str:
+    return f"cast(cast(raw as float) * cast({by.scale} as float) + cast({by.offset} as float) as double)"
+
+
+_add("raster_decode", _marked, f"select pixel_id, month, {_value(D.TEMPERATURE)} as tas, {_value(D.PRECIPITATION)} as pr from ({_RAW_SQL}) where raw <> -9999")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """48 files in, 19 files out, read back as one row a cell that holds anything."""
+    files, grid, out = _rasters(spark, wide(tuned(spark), sf_dir, "px_part"))
+    write_bio(bioclim(arrays_to_wide(read_months(spark, files, raw=True))), out, grid)
+    cells = read_rasters(spark, {n: f"{out}/{n}.tif" for n in NAMES})
+    found = cells.groupBy("pixel_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).cast("double").alias(n) for n in NAMES])
+    return found.where(F.coalesce(*[F.col(n) for n in NAMES]).isNotNull())
+
+
+_add(
+    "raster_round_trip",
+    _round_trip,
+    f"select pixel_id, {', '.join(f'cast(cast({n} as float) as double) as {n}' for n in NAMES)} from ({O.select(O.indicators(), _as_stored(wide_sql('px_part')))}) "
+    f"where coalesce({', '.join(NAMES)}) is not null",
+)

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions.decode import DEFAULTS, NODATA, RAW, Scale
@@ -22,6 +23,10 @@ from ..operators.indicators import NAMES
 from . import tiff
 
 
+#: Cells of one raster that a task holds at once where it is stored in strips, and pixels in a batch.
+CELLS, BATCH = 1 << 18, 1 << 15
+
+
 def expand(paths: str | Sequence[str]) -> list[str]:
     """Paths and glob patterns as files, patterns in name order."""
     out: list[str] = []
@@ -36,6 +41,8 @@ class Grid:
     height: int
     geo: tuple
     geotransform: tuple[float, ...] | None
+    #: Rows and columns that the first file stores together.
+    block: tuple[int, int] = (512, 512)
 
 
 def inspect(files: dict[str, list[str]], strict: bool = False) -> Grid:
@@ -51,7 +58,7 @@ def inspect(files: dict[str, list[str]], strict: bool = False) -> Grid:
             except (OSError, ValueError) as e:
                 raise ValueError(f"can't open raster {path}: {e}") from e
             if first is None:
-                first, out = image, Grid(image.width, image.height, image.geo, image.geotransform)
+                first, out = image, Grid(image.width, image.height, image.geo, image.geotransform, image.block)
             if (image.width, image.height) != (first.width, first.height):
                 raise ValueError(f"{path} is {image.width}x{image.height}, the first file {first.width}x{first.height}")
             if strict and (image.geo != first.geo or str(image.nodata) != str(first.nodata) or image.one(tiff.SAMPLES, 1) != 1):
@@ -104,61 +111,106 @@ class MonthReader(DataSourceReader):
                 self.box[i + 1] = min(self.box[i + 1], v + (not isinstance(f, LessThan)))
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of rows that begin at multiples of the tile size, as tiles do."""
         _, _, lo, hi = self.box
-        return [Rows(y, min(self.rows, hi - y)) for y in range(lo, hi, self.rows)] or [Rows(0, 0)]
+        starts = range(lo - lo % self.rows, hi, self.rows)
+        return [Rows(max(y, lo), min(y + self.rows, hi) - max(y, lo)) for y in starts] or [Rows(0, 0)]
+
+    def blocks(self, partition: Rows) -> Iterator[tuple[int, int, int, int]]:
+        """The partition in pieces of bounded size (x, y, w, h) along the first file's tiles or strips, so that each of those is unpacked once."""
+        left, right = self.box[:2]
+        high, wide = self.grid.block
+        if wide < self.grid.width:
+            high = max(high, partition.height)
+        else:
+            high = max(1, CELLS // max(1, wide) // high) * high
+        y, end = partition.y, partition.y + partition.height
+        while y < end:
+            h = min(end, y - y % high + high) - y
+            x = left
+            while x < right:
+                w = min(right, x - x % wide + wide) - x
+                yield x, y, w, h
+                x += w
+            y += h
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        x, w = self.box[0], max(0, self.box[1] - self.box[0])
-        step = max(1, min(partition.height, (1 << 16) // max(1, w)))
-        for y in range(partition.y, partition.y + partition.height, step):
-            h = min(step, partition.y + partition.height - y)
-            if not w or not h:
-                continue
+        for x, y, w, h in self.blocks(partition):
+            blocks = {s: np.stack([read_block(p, x, y, w, h, self.scales[s], self.nodata) for p in self.files[s]], axis=1) for s in SERIES}
             ys, xs = np.repeat(np.arange(y, y + h), w), np.tile(np.arange(x, x + w), h)
-            cols = [pa.array(ys * self.grid.width + xs, pa.int64()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())]
-            for s in SERIES:
-                block = np.stack([read_block(p, x, y, w, h, self.scales[s], self.nodata) for p in self.files[s]], axis=1).ravel()
-                values = pa.array(block, pa.float32(), mask=np.isnan(block))
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(block) + 1, 12), pa.int32()), values))
-            yield pa.RecordBatch.from_arrays(cols, ["pixel_id", "x", "y", *SERIES])
+            for i in range(0, w * h, BATCH):
+                here = slice(i, i + BATCH)
+                cols = [pa.array(ys[here] * self.grid.width + xs[here], pa.int64()), pa.array(xs[here], pa.int32()), pa.array(ys[here], pa.int32())]
+                for s in SERIES:
+                    block = blocks[s][here].ravel()
+                    values = pa.array(block, pa.float32(), mask=np.isnan(block))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(block) + 1, 12), pa.int32()), values))
+                yield pa.RecordBatch.from_arrays(cols, ["pixel_id", "x", "y", *SERIES])
 
 
-class BioWriter(DataSourceWriter):
-    """Tasks write their pixels as raw columns beside the target; the commit puts each indicator's file together."""
+class BioWriter(DataSourceArrowWriter):
+    """Tasks fill and compress tiles into files beside the target; the commit only puts their bytes in order."""
 
     def __init__(self, options: dict):
         self.width, self.height = int(options["width"]), int(options["height"])
         self.geo = tuple(tuple(g) if g else None for g in json.loads(options.get("geo", "[null, null, null]")))
-        self.dir, self.prefix = options["path"], options.get("prefix", "bio")
+        self.dir, self.names = options["path"], json.loads(options["names"])
+        self.tile, _ = tiff.pyramid(self.width, self.height)
         self.parts = f"{self.dir}/.parts-{uuid.uuid4().hex}"
         os.makedirs(self.parts, exist_ok=True)
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        path, n = f"{self.parts}/{uuid.uuid4().hex}.npy", 0
-        kind = np.dtype([("pixel_id", "<i8"), *((name, "<f4") for name in NAMES)])
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """Rows come sorted by tile; one tile of each raster is held at a time."""
+        path, index, now = f"{self.parts}/{uuid.uuid4().hex}", [], None
+        cells = np.full((len(self.names), self.tile * self.tile), np.nan, "<f4")
         with open(path, "wb") as f:
-            held = []
-            for r in rows:
-                held.append((r["pixel_id"], *(np.nan if r[b] is None else r[b] for b in NAMES)))
-                if len(held) == 1 << 15:
-                    f.write(np.array(held, kind).tobytes())
-                    n, held = n + len(held), []
-            f.write(np.array(held, kind).tobytes())
-            n += len(held)
-        return Part(path, n)
+
+            def flush() -> None:
+                for i, image in enumerate(cells):
+                    data = tiff.lzw_encode(image.tobytes())
+                    index.append((i, *now, f.tell(), len(data)))
+                    f.write(data)
+                cells[:] = np.nan
+
+            for b in iterator:
+                keys = np.stack([b.column(k).to_numpy() for k in ("level", "row", "col")])
+                cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [keys.shape[1]]])
+                at, values = b.column("cell").to_numpy(), [b.column(n).to_numpy(zero_copy_only=False) for n in self.names]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if lo == hi:
+                        continue
+                    key = tuple(int(k) for k in keys[:, lo])
+                    if now is not None and key != now:
+                        flush()
+                    now = key
+                    for i, v in enumerate(values):
+                        cells[i, at[lo:hi]] = v[lo:hi]
+            if now is not None:
+                flush()
+        return Part(path, index)
 
     def commit(self, messages: list) -> None:
-        """One indicator at a time in a file-backed image, so memory doesn't grow with the grid."""
-        kind = np.dtype([("pixel_id", "<i8"), *((name, "<f4") for name in NAMES)])
-        parts = [m for m in messages if m is not None and m.rows]
-        for i, name in enumerate(NAMES):
-            image = np.memmap(f"{self.parts}/image", "<f4", "w+", shape=(self.height, self.width))
-            image[:] = np.nan
-            for m in parts:
-                rows = np.memmap(m.path, kind, "r")
-                image.reshape(-1)[rows["pixel_id"]] = rows[name]
-            tiff.write_cog(f"{self.dir}/{self.prefix}{i + 1:02d}.tif", lambda y, h, im=image: np.asarray(im[y : y + h]), self.width, self.height, self.geo)
-        shutil.rmtree(self.parts, ignore_errors=True)
+        """The rasters one by one; all appear, by renames, once all are written."""
+        try:
+            tiles: list[dict] = [{} for _ in self.names]
+            for m in messages:
+                for i, level, row, col, at, size in m.index if m is not None else ():
+                    tiles[i][level, row, col] = (m.path, at, size)
+            for name, found in zip(self.names, tiles, strict=True):
+
+                def packed(*key, found=found) -> bytes | None:
+                    if key not in found:
+                        return None
+                    path, at, size = found[key]
+                    with open(path, "rb") as f:
+                        f.seek(at)
+                        return f.read(size)
+
+                tiff.assemble(f"{self.parts}/{name}.tif", packed, self.width, self.height, self.geo)
+            for name in self.names:
+                os.replace(f"{self.parts}/{name}.tif", f"{self.dir}/{name}.tif")
+        finally:
+            shutil.rmtree(self.parts, ignore_errors=True)
 
     def abort(self, messages: list) -> None:
         shutil.rmtree(self.parts, ignore_errors=True)
@@ -167,11 +219,12 @@ class BioWriter(DataSourceWriter):
 @dataclass
 class Part(WriterCommitMessage):
     path: str
-    rows: int
+    #: (raster, level, row, column, place, bytes) of each tile.
+    index: list
 
 
 class BioclimRaster(DataSource):
-    """``spark.read.format("bioclim_raster")`` with options tas, tasmax, tasmin, pr (JSON lists or commas, globs allowed), tileSize, raw, nodata, strictMetadata and <series>Scale / <series>Offset; the writer takes path, width, height, geo and prefix."""
+    """``spark.read.format("bioclim_raster")`` with options tas, tasmax, tasmin, pr (JSON lists or commas, globs allowed), tileSize, raw, nodata, strictMetadata and <series>Scale / <series>Offset; the writer, used by ``write_rasters``, takes path, width, height, geo and names."""
 
     @classmethod
     def name(cls) -> str:
@@ -199,13 +252,49 @@ def read_months(spark: SparkSession, files: dict[str, Sequence[str] | str], **op
     return reader.load()
 
 
-def write_bio(df: DataFrame, outdir: str, grid: Grid, prefix: str = "bio") -> None:
-    """Nineteen cloud-optimized GeoTIFFs, <prefix>01.tif to <prefix>19.tif; cells without a row are missing.
+def read_rasters(spark: SparkSession, files: dict[str, str], rows: int = 512) -> DataFrame:
+    """(name, pixel_id, value float): the cells of single rasters, missing ones as null; a task reads ``rows`` rows of one file at a time."""
+    parts = []
+    for name, path in files.items():
+        with open(path, "rb") as f:
+            image = tiff.directories(f)[0]
+        parts += [(name, path, y, min(rows, image.height - y), image.width) for y in range(0, image.height, rows)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, path, y, h, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block = read_block(path, 0, y, w, h, nodata=None)
+                cells = np.arange(y * w, (y + h) * w)
+                for i in range(0, len(block), BATCH):
+                    part = block[i : i + BATCH]
+                    cols = [pa.array([name] * len(part)), pa.array(cells[i : i + BATCH]), pa.array(part, pa.float32(), mask=np.isnan(part))]
+                    yield pa.RecordBatch.from_arrays(cols, ["name", "pixel_id", "value"])
 
-    The format wants one file per indicator, which the driver puts together; for
-    large grids write Parquet, which every executor does by itself.
+    table = spark.createDataFrame(parts, "name string, path string, y int, h int, w int").repartition(len(parts))
+    return table.mapInArrow(run, "name string, pixel_id long, value float")
+
+
+def write_rasters(df: DataFrame, outdir: str, grid: Grid, names: dict[str, str]) -> None:
+    """A cloud-optimized GeoTIFF <name>.tif for each column of ``names`` (column: name), in a folder that all executors mount.
+
+    ``df`` has pixel_id (row times width plus column) and the columns; cells without
+    a row or a value are missing, of rows that repeat a pixel any counts, and files
+    of these names are replaced. Pixels are dealt by tile, those of overviews (every
+    second row and column of the level below) too, and tasks compress the tiles.
     """
     df.sparkSession.dataSource.register(BioclimRaster)
     os.makedirs(outdir, exist_ok=True)
-    writer = df.select("pixel_id", *NAMES).write.format("bioclim_raster").mode("append")
-    writer.option("width", grid.width).option("height", grid.height).option("geo", json.dumps(grid.geo)).option("prefix", prefix).option("path", outdir).save()
+    tile, levels = tiff.pyramid(grid.width, grid.height)
+    x, y = F.col("pixel_id") % grid.width, F.expr(f"pixel_id div {grid.width}")
+    rows = df.where(F.col("pixel_id").between(0, grid.width * grid.height - 1)).select(x.cast("int").alias("_x"), y.cast("int").alias("_y"), *[F.col(c).cast("float").alias(n) for c, n in names.items()])
+    inside = F.filter(F.array(*map(F.lit, range(len(levels)))), lambda k: (F.col("_x").bitwiseOR(F.col("_y")) % F.pow(F.lit(2), k).cast("int")) == 0)
+    rows = rows.withColumn("level", F.explode(inside)).withColumn("_x", F.expr("shiftright(_x, level)")).withColumn("_y", F.expr("shiftright(_y, level)"))
+    keys = ["level", "row", "col"]
+    rows = rows.select("level", F.expr(f"_y div {tile}").cast("int").alias("row"), F.expr(f"_x div {tile}").cast("int").alias("col"), (F.col("_y") % tile * tile + F.col("_x") % tile).cast("int").alias("cell"), *names.values())
+    writer = rows.repartition(*keys).sortWithinPartitions(*keys).write.format("bioclim_raster").mode("append")
+    writer.option("width", grid.width).option("height", grid.height).option("geo", json.dumps(grid.geo)).option("names", json.dumps(list(names.values()))).option("path", outdir).save()
+
+
+def write_bio(df: DataFrame, outdir: str, grid: Grid, prefix: str = "bio") -> None:
+    """Nineteen cloud-optimized GeoTIFFs, <prefix>01.tif to <prefix>19.tif."""
+    write_rasters(df, outdir, grid, {name: f"{prefix}{i + 1:02d}" for i, name in enumerate(NAMES)})

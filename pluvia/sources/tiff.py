@@ -15,83 +15,94 @@ import numpy as np
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 SUBFILE, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 254, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
+TRANSFORM, GEO_DOUBLES, GEO_ASCII, PLANAR = 34264, 34736, 34737, 284
 NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END = 256, 257
 
 
+#: After a CLEAR the width of a code depends on its number alone; numbers up to where no table can reach.
+_WIDTHS = np.searchsorted([512, 1024, 2048], 258 + np.arange(8192), "right").astype(np.int64) + 9
+_STARTS = np.cumsum(_WIDTHS) - _WIDTHS
+
+
 def lzw_decode(data: bytes) -> bytes:
-    """Most significant bit first; the code width grows one entry early, as TIFF asks."""
-    base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last, out = list(base), 9, b"", []
-    held = bits = 0
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == END:
+    """Most significant bit first; the code width grows one entry early, as TIFF asks.
+
+    Codes are cut out a table at a time. An entry's string is what was put out from
+    the code that made it on, and one byte more; so lengths, and then for each byte
+    the earlier byte that it repeats, are found by following pointers in parallel.
+    """
+    raw, total, bit = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64), 8 * len(data), 0
+    parts, bases, n = [], [], 0
+    while True:
+        at = bit + _STARTS
+        at = at[: np.searchsorted(at + _WIDTHS, total, "right")]
+        width, byte = _WIDTHS[: len(at)], at >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (at & 7) - width) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        k = stops[0] if len(stops) else len(codes)
+        parts.append(codes[:k])
+        bases.append(np.full(k, n))
+        n += k
+        if not len(stops) or codes[k] == END:
             break
-        if code == CLEAR:
-            table, width, last = list(base), 9, b""
-            continue
-        if not last:
-            now = table[code]
-        else:
-            now = table[code] if code < len(table) else last + last[:1]
-            table.append(last + now[:1])
-        out.append(now)
-        last = now
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return b"".join(out)
+        bit = int(at[k] + width[k])
+    code, base = np.concatenate(parts), np.concatenate(bases)
+    if not n:
+        return b""
+    old, number = code > END, np.arange(n)
+    made_by = np.where(old, code - 258 + base, number)
+    if (made_by > number).any() or (made_by[old] >= number[old]).any():
+        raise ValueError("not a stream of LZW codes")
+    size, to = old.astype(np.int64), made_by
+    while size[to].any():
+        size, to = size + size[to], to[to]
+    size += 1
+    start = np.cumsum(size) - size
+    source = np.arange(int(size.sum())) + np.repeat(start[made_by] - start, size)
+    value = np.zeros(len(source), np.uint8)
+    value[start[~old]] = code[~old]
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return value[source].tobytes()
+        source = further
 
 
 def lzw_encode(data: bytes) -> bytes:
-    table: dict[bytes, int] = {}
-    out, held, bits, width, now = bytearray(), 0, 0, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    def fresh() -> dict[bytes, int]:
-        return {bytes([i]): i for i in range(256)}
-
-    table = fresh()
-    free = 258
-    put(CLEAR)
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if now + c in table:
-            now += c
+    codes, counts = [CLEAR], [1]
+    table: dict[int, int] = {}
+    free, now = 258, -1
+    for c in data:
+        if now < 0:
+            now = c
+            continue
+        key = now << 8 | c
+        known = table.get(key)
+        if known is not None:
+            now = known
             continue
-        put(table[now])
-        table[now + c] = free
+        codes.append(now)
+        table[key] = free
         free += 1
         if free == 4094:
-            put(CLEAR)
-            table, free, width = fresh(), 258, 9
-        elif free >= 1 << width:
-            width += 1
+            codes.append(CLEAR)
+            counts.append(len(codes) - sum(counts))
+            table, free = {}, 258
         now = c
-    if now:
-        put(table[now])
-        free += 1
-        if free >= 1 << width and width < 12:
-            width += 1
-    put(END)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    codes += [now, END] if now >= 0 else [END]
+    counts.append(len(codes) - sum(counts))
+    width = np.concatenate([_WIDTHS[:k] for k in counts])
+    which = np.repeat(np.arange(len(codes), dtype=np.int32), width)
+    ends = np.cumsum(width)
+    shift = (np.repeat(ends.astype(np.int64), width) - 1 - np.arange(ends[-1])).astype(np.int32)
+    return np.packbits((np.array(codes, np.int32)[which] >> shift & 1).astype(np.uint8)).tobytes()
+
+
+#: Tags that say where a grid lies, and their types.
+GEO_TAGS = ((PIXEL_SCALE, 12), (TIE_POINT, 12), (GEO_KEYS, 3), (TRANSFORM, 12), (GEO_DOUBLES, 12), (GEO_ASCII, 2))
 
 
 @dataclass
@@ -100,6 +111,8 @@ class Image:
 
     tags: dict[int, tuple] = field(default_factory=dict)
     order: str = "<"
+    #: Where the directory lies in its file.
+    at: int = 0
 
     def one(self, tag: int, default=None):
         return self.tags[tag][0] if tag in self.tags else default
@@ -128,12 +141,22 @@ class Image:
 
     @property
     def geo(self) -> tuple:
-        """What says where the grid lies: pixel scale, tie point and keys."""
-        return tuple(self.tags.get(t) for t in (PIXEL_SCALE, TIE_POINT, GEO_KEYS))
+        """What says where the grid lies: pixel scale, tie point and keys, and, if any is there, the affine transform and the keys' numbers and texts."""
+        all_ = tuple(self.tags.get(t) for t, _ in GEO_TAGS)
+        return all_ if any(all_[3:]) else all_[:3]
+
+    @property
+    def block(self) -> tuple[int, int]:
+        """Rows and columns that are stored together."""
+        if self.tiled:
+            return self.one(TILE_HEIGHT), self.one(TILE_WIDTH)
+        return min(self.one(ROWS_PER_STRIP, self.height), self.height), self.width
 
     @property
     def geotransform(self) -> tuple[float, ...] | None:
-        scale, tie = self.tags.get(PIXEL_SCALE), self.tags.get(TIE_POINT)
+        scale, tie, affine = self.tags.get(PIXEL_SCALE), self.tags.get(TIE_POINT), self.tags.get(TRANSFORM)
+        if affine:
+            return (affine[3], affine[0], affine[1], affine[7], affine[4], affine[5])
         if not scale or not tie:
             return None
         return (tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1])
@@ -153,7 +176,7 @@ def directories(f: BinaryIO) -> list[Image]:
         n = struct.unpack(order + ("Q" if big else "H"), f.read(8 if big else 2))[0]
         size = 20 if big else 12
         raw = f.read(n * size + (8 if big else 4))
-        image = Image(order=order)
+        image = Image(order=order, at=at)
         for i in range(n):
             entry = raw[i * size : (i + 1) * size]
             tag, kind = struct.unpack(order + "HH", entry[:4])
@@ -179,26 +202,26 @@ def _unpacked(raw: bytes, image: Image, shape: tuple[int, int]) -> np.ndarray:
         raw = zlib.decompress(raw)
     elif how != NONE:
         raise ValueError(f"compression {how} isn't supported")
-    out = np.frombuffer(raw, image.dtype, shape[0] * shape[1]).reshape(shape)
+    bands = image.one(SAMPLES, 1) if image.one(PLANAR, 1) == 1 else 1
+    out = np.frombuffer(raw, image.dtype, shape[0] * shape[1] * bands).reshape(*shape, bands)
     predictor = image.one(PREDICTOR, 1)
     if predictor == 2:
         with np.errstate(over="ignore"):
             out = np.cumsum(out, axis=1, dtype=out.dtype)
     elif predictor != 1:
         raise ValueError(f"predictor {predictor} isn't supported")
-    return out
+    return out[:, :, 0]
 
 
 def read_window(f: BinaryIO, image: Image, x: int, y: int, w: int, h: int) -> np.ndarray:
-    """A rectangle as stored; only the tiles or strips that it touches are read."""
-    if image.one(SAMPLES, 1) != 1:
-        raise ValueError("only single-band rasters are supported")
+    """A rectangle of the first band as stored; only the tiles or strips that it touches are read. Tiles that a file leaves out hold its missing mark."""
     if x < 0 or y < 0 or w < 0 or h < 0 or x + w > image.width or y + h > image.height:
         raise ValueError("the window is outside the raster")
-    out = np.zeros((h, w), image.dtype)
+    mark = image.nodata
+    out = np.full((h, w), 0 if mark is None or (mark != mark and image.dtype.kind != "f") else mark, image.dtype)
     if not w or not h:
         return out
-    tw, th = (image.one(TILE_WIDTH), image.one(TILE_HEIGHT)) if image.tiled else (image.width, min(image.one(ROWS_PER_STRIP, image.height), image.height))
+    th, tw = image.block
     offsets, counts = (image.tags[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if image.tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
     across = -(-image.width // tw)
     for r in range(y // th, (y + h - 1) // th + 1):
@@ -219,24 +242,38 @@ def read_window(f: BinaryIO, image: Image, x: int, y: int, w: int, h: int) -> np
 EPSG_4326 = (1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
 
 
-def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan")) -> None:
-    """A float32 cloud-optimized GeoTIFF: directories first, LZW tiles, overviews while a side is over a tile.
-
-    ``rows(y, h)`` gives rows of the full image; no more than one row of tiles of
-    each level is held at once. The file appears whole, by a rename.
-    """
+def pyramid(width: int, height: int, tile: int = 512) -> tuple[int, list[tuple[int, int]]]:
+    """The side of tiles, and the sizes of the image and its overviews, halved while a side is over a tile."""
     tile = min(tile, -(-max(width, height) // 16) * 16)  # tiles come in sixteens
     levels = [(width, height)]
     while max(levels[-1]) > tile:
-        levels.append((max(1, -(-levels[-1][0] // 2)), max(1, -(-levels[-1][1] // 2))))
-    grid = [(-(-w // tile), -(-h // tile)) for w, h in levels]
+        levels.append((-(-levels[-1][0] // 2), -(-levels[-1][1] // 2)))
+    return tile, levels
+
+
+def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan")) -> None:
+    """A float32 cloud-optimized GeoTIFF from ``rows(y, h)``, which gives rows of the full image; overviews take every second row and column."""
+    side, levels = pyramid(width, height, tile)
+
+    def packed(level: int, r: int, c: int) -> bytes:
+        step, h = 1 << level, min(side, levels[level][1] - r * side)
+        picked = [rows(min(height - 1, (r * side + i) * step), 1) for i in range(h)] if level else [rows(r * side, h)]
+        part = np.concatenate(picked)[:, ::step][:, c * side : (c + 1) * side]
+        cell = np.full((side, side), nodata, "<f4")
+        cell[: part.shape[0], : part.shape[1]] = part
+        return lzw_encode(cell.tobytes())
+
+    assemble(path, packed, width, height, geo, tile, nodata)
 
-    def level_rows(level: int, y: int, h: int) -> np.ndarray:
-        """Every second row and column of the level above."""
-        step = 1 << level
-        picked = [rows(min(height - 1, (y + i) * step), 1) for i in range(h)] if level else [rows(y, h)]
-        return np.concatenate(picked)[:, ::step]
 
+def assemble(path: str, packed: Callable[[int, int, int], bytes | None], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan")) -> None:
+    """A float32 cloud-optimized GeoTIFF of LZW tiles: directories first, then overviews from small to large, then the image.
+
+    ``packed(level, row, column)`` gives a tile, one at a time, or None for one that
+    is missing throughout. The file appears whole, by a rename.
+    """
+    tile, levels = pyramid(width, height, tile)
+    grid = [(-(-w // tile), -(-h // tile)) for w, h in levels]
     text = ("nan" if nodata != nodata else repr(nodata)).encode() + b"\0"
     big = width * height * 4 > 3_000_000_000
     head = 16 if big else 8
@@ -246,7 +283,8 @@ def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, hei
         k = grid[n][0] * grid[n][1]
         entries = [(SUBFILE, 4, (int(n > 0),)), (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (32,)), (COMPRESSION, 3, (LZW,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (1,)), (TILE_WIDTH, 3, (tile,)), (TILE_HEIGHT, 3, (tile,)), (TILE_OFFSETS, 16 if big else 4, (0,) * k), (TILE_COUNTS, 4, (0,) * k), (FORMAT, 3, (3,))]
         if n == 0:
-            entries += [(t, kind, v) for t, kind, v in zip((PIXEL_SCALE, TIE_POINT, GEO_KEYS), (12, 12, 3), geo, strict=True) if v]
+            places = [(t, kind, (v[0].encode("latin-1") + b"\0" if kind == 2 else v)) for (t, kind), v in zip(GEO_TAGS, geo, strict=False) if v]
+            entries += sorted(places)
         entries.append((NODATA, 2, text))
         size = (8 + 20 * len(entries) + 8) if big else (2 + 12 * len(entries) + 4)
         extra = sum(x for x in (len(v) * SIZES[kind] for _, kind, v in entries) if x > (8 if big else 4))
@@ -257,17 +295,13 @@ def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, hei
         f.write(b"\0" * at)
         spots = [([0] * (gw * gh), [0] * (gw * gh)) for gw, gh in grid]
         for n in reversed(range(len(levels))):
-            w, h = levels[n]
             for r in range(grid[n][1]):
-                band = level_rows(n, r * tile, min(tile, h - r * tile))
                 for c in range(grid[n][0]):
-                    cell = np.full((tile, tile), nodata, "<f4")
-                    part_ = band[:, c * tile : (c + 1) * tile]
-                    cell[: part_.shape[0], : part_.shape[1]] = part_
-                    packed = lzw_encode(cell.tobytes())
-                    k = r * grid[n][0] + c
-                    spots[n][0][k], spots[n][1][k] = f.tell(), len(packed)
-                    f.write(packed)
+                    data = packed(n, r, c)
+                    if data:
+                        k = r * grid[n][0] + c
+                        spots[n][0][k], spots[n][1][k] = f.tell(), len(data)
+                        f.write(data)
         f.seek(0)
         f.write(b"II" + (struct.pack("<HHHQ", 43, 8, 0, head) if big else struct.pack("<HI", 42, head)))
         for n, (entries, start, size) in enumerate(plans):
@@ -294,7 +328,15 @@ def cog_faults(path: str) -> list[str]:
         out.append("not tiled")
     if max(first.width, first.height) > 512 and len(images) < 2:
         out.append("no overviews")
-    starts = [min(i.tags[TILE_OFFSETS]) for i in images if i.tiled]
+    for n, i in enumerate(images):
+        if i.one(COMPRESSION) not in (NONE, LZW, DEFLATE, OLD_DEFLATE) or not i.tiled or len(i.tags[TILE_OFFSETS]) != -(-i.width // i.block[1]) * -(-i.height // i.block[0]):
+            out.append(f"directory {n} isn't a full set of tiles")
+        if n and (i.width, i.height) != (-(-images[n - 1].width // 2), -(-images[n - 1].height // 2)):
+            out.append(f"overview {n} isn't half as large as the one before")
+    starts = [min([x for x in i.tags[TILE_OFFSETS] if x], default=0) for i in images if i.tiled]
+    starts = [x for x in starts if x]
+    if starts and max(i.at for i in images) > min(starts):
+        out.append("directories lie behind tiles")
     if starts != sorted(starts, reverse=True):
         out.append("overviews lie behind the full image")
     return out
