@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Training takes this many labelled texts of each language at most, so many in all (of more languages than
 #: that, the most frequent), and of a text's n-grams the so many most frequent.
 SAMPLE, ROWS, KEPT = 300, 6000, 8192
@@ -202,14 +204,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(lang.alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = ["lang", "o", "th"]
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    some = counts.orderBy(F.desc("n"), "lang").limit(rows).select("lang")
+    ids = known.select(*keys).distinct()
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    some = materialize(counts.orderBy(F.desc("n"), "lang").limit(rows), "languages")
     learned = some.count()
     if not learned:
         return fit([], [])
     each = max(1, min(sample, rows // learned))
-    ids = known.select(*keys).join(F.broadcast(some), "lang").distinct()
-    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o", "th"))).where(F.col("nth") <= each).drop("nth")
+    # a share of each language that holds some times as many rows, so that ranking moves few of them
+    place = F.pmod("o", F.lit(1 << 30))
+    ids = ids.join(F.broadcast(some), "lang").where(place / float(1 << 30) < (4 * each + 100) / F.col("n")).withColumn("place", place)
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "o", "th"))).where(F.col("nth") <= each).select(*keys)
     chosen = known.join(F.broadcast(ids), keys).dropDuplicates(keys)
     found = sorted((r.lang, r.o, r.th, bytes(r.grams), bytes(r.rates)) for r in chosen.select(F.struct(*keys).alias("k"), "text").mapInArrow(_counted, "k struct<lang:string,o:long,th:long>, grams binary, rates binary").select("k.*", "grams", "rates").toLocalIterator())
     return fit([(np.frombuffer(g, "<u2").astype(np.int64), np.frombuffer(r, "<f4")) for *_, g, r in found], [r[0] for r in found])
