@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, embedding_dedup, language_id, mixing, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, warc_store
+from . import conversation_repair, embedding_dedup, language_id, line_dedup, mixing, packing, quality_rules, ranked_search, sharding, simhash, substring_dedup, token_counts, warc_store
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,20 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(conversation_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(_docs(spark, sf_dir))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_token_counts, op4_mixing, op5_simhash_dedup,
         op6_substring_dedup, op7_best_fit_packing, op8_embedding_dedup, op9_warc_archive, op10_consistent_ring,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_line_dedup, op13_ranked_search,
     )
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op8_embedding_dedup": embedding_dedup.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op8_embedding_dedup": embedding_dedup.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
