@@ -333,7 +333,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NOBODY))).alias("doc_id"), _hash(text).alias("th"), text.cast("binary").alias("text"))
-    rows = own.join(common_lines(docs, many, id_col, text_col), ["doc_id", "th"], "left").select("id", "text", "told")
+    # never by broadcast: what is told of documents grows with the table
+    rows = own.join(common_lines(docs, many, id_col, text_col).hint("merge"), ["doc_id", "th"], "left").select("id", "text", "told")
     return rows.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -346,7 +347,7 @@ def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     quoted = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
     own = docs.select(F.struct(*quoted).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NOBODY))).alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
-    rows = own.join(common_lines(docs, many, id_col, text_col), ["doc_id", "th"], "left")
+    rows = own.join(common_lines(docs, many, id_col, text_col).hint("merge"), ["doc_id", "th"], "left")
     text, some = F.col("row").getField(text_col), F.col("told").isNotNull()
     new = F.when(some, cut(F.when(some, text.cast("string")), F.col("told"))).otherwise(text)
     return rows.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
