@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_order, materialize
 
 CAPACITY = 1024
 EOS = 2
@@ -21,8 +21,10 @@ END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
 #: Chunks of text whose ids a worker remembers.
 CACHE = 400_000
-#: New sequences open after a sweep that placed less than this share of the pieces.
-FEW = 0.05
+#: Pieces of less than this part of a sequence are placed in runs of up to it.
+RUN = 8
+#: Bits of a run's number that hold the rank of its first piece; the others hold the size.
+RANK = 50
 
 
 def encoder(path: str | None = None) -> Callable[[str], bytes]:
@@ -139,38 +141,74 @@ def sweep(gaps: DataFrame, rest: DataFrame) -> DataFrame:
     return materialize(rows.select("kind", "id", "size", F.when(opens, F.col("to")).when(closes, F.col("by")).alias("piece"), F.when(opens, F.col("need")).alias("taken")), "swept")
 
 
+def _halved(units: DataFrame) -> DataFrame:
+    """Runs of several pieces as two of half as many."""
+    few, at = F.expr(f"size div shiftright(id, {RANK})"), F.expr(f"shiftright(id, {RANK})")
+    first = F.expr("cast(n div 2 as int)")
+    parts = F.when(F.col("n") > 1, F.array(F.struct(F.col("id").alias("id"), (first * F.col("s")).alias("size")), F.struct((F.col("id") + first).alias("id"), ((F.col("n") - first) * F.col("s")).alias("size"))))
+    one = F.array(F.struct(F.col("id").alias("id"), F.col("size").alias("size")))
+    rows = units.select("id", "size", few.cast("int").alias("n"), at.cast("int").alias("s"))
+    return rows.select(F.explode(F.coalesce(parts, one)).alias("u")).select("u.id", F.col("u.size").cast("int").alias("size"))
+
+
 def place(sizes: DataFrame, capacity: int = CAPACITY) -> list[DataFrame]:
     """(id, sequence_id, offset) of the pieces (id long, size int) of up to half the capacity, as tables to be united; ids are unique and not negative.
 
     Bulk-synchronous best fit. Pieces over half the capacity open a sequence each,
-    at offset 0, whose number is the piece's. Then rounds: a sweep gives each gap at most one
-    piece, the largest that has it for its successor, and the gaps shrink. Where
-    pieces are left that no gap holds and the sweep placed few, new sequences open,
-    as many as the remaining pieces would fill. Gaps too small for any piece leave
-    the game. Only counts and sums of a round reach the driver. Rounds grow with the
-    number of pieces in a sequence and not with that of documents.
+    at offset 0, whose number is the piece's. The others are ranked within their size by a
+    distributed prefix count, and pieces below ``capacity / RUN`` go as runs of one size: a
+    run's number has its size and the rank of its first piece. Then rounds: a sweep gives
+    each gap at most one run, the largest that has it for its successor, and the gaps
+    shrink. Where no gap holds even the smallest run that is left, runs are halved.
+
+    New sequences open for what the gaps that still hold a piece can't take by their sizes
+    alone, and otherwise only once no gap holds any piece that is left. Gaps too small for
+    any piece leave the game. Only counts, sums and extremes of a round reach the driver.
+    A gap takes a share of the capacity in each round, so that rounds grow neither with the
+    number of documents nor with that of pieces in a sequence.
     """
     spark, half = sizes.sparkSession, capacity // 2
-    big, rest = sizes.where(F.col("size") > half), sizes.where(F.col("size") <= half)
-    out: list[DataFrame] = []
-    gaps, opened = big.where(F.col("size") < capacity).select("id", (F.lit(capacity) - F.col("size")).alias("size")), 0
-
-    def left(rows: DataFrame) -> Row:
-        return rows.agg(F.count("*").alias("n"), F.coalesce(F.min("size"), F.lit(0)).alias("least"), F.coalesce(F.sum("size"), F.lit(0)).alias("sum")).first()
-
-    now, new = left(rest), 0
+    big = sizes.where(F.col("size") > half)
+    gaps, opened = big.where(F.col("size") < capacity).select("id", (F.lit(capacity) - F.col("size")).cast("int").alias("size")), 0
+    ranked = in_order(sizes.where(F.col("size") <= half).select("size", "id"), ["size"], ["id"], "small_pieces")
+    ranked = materialize(ranked.select("size", "id", "rank", "group_rows"), "ranked_pieces")
+    run = F.greatest(F.lit(1), F.floor(F.lit(capacity // RUN) / F.col("size"))).cast("long")
+    units = ranked.where(F.col("rank") % run == 0).select((F.shiftleft(F.col("size").cast("long"), RANK) + F.col("rank")).alias("id"), (F.col("size") * F.least(run, F.col("group_rows") - F.col("rank"))).cast("int").alias("size"))
+    units = materialize(units, "runs")
+    own = F.expr(f"shiftright(id, {RANK})")
+
+    def left(runs: DataFrame, free: DataFrame) -> Row:
+        """Of the runs: their number and sum, the least run and the least piece, and whether any has several pieces; of the gaps that hold a piece: their sum and the largest."""
+        facts = runs.agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.min("size").alias("least"), F.min(own).alias("piece"), F.max(F.col("size") > own).alias("several"))
+        rooms = free.groupBy("size").agg(F.count("*").alias("many"))  # a row for each size
+        got = facts.first()
+        room = rooms.where(F.col("size") >= (got.piece or 0)).agg(F.coalesce(F.sum(F.col("size") * F.col("many")), F.lit(0)).alias("room"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
+        return Row(**got.asDict(), **room.asDict())
+
+    taken: list[DataFrame] = []
+    now = left(units, gaps)
     while now.n:
+        new = max(0, -(-(now.sum - now.room) // capacity))
+        if not new and now.least > now.largest:
+            if now.several:
+                units = materialize(_halved(units), "halved")
+                now = left(units, gaps)
+                continue
+            new = -(-now.sum // capacity)
         if new:
             fresh = spark.range(-opened - new, -opened).select("id", F.lit(capacity).alias("size"))
             gaps, opened = gaps.union(fresh), opened + new
-        swept = sweep(gaps.where(F.col("size") >= now.least), rest)
-        taken = swept.where("kind = 0 and piece is not null")
-        out.append(taken.select(F.col("piece").alias("id"), F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("size")).alias("offset")))
+        swept = sweep(gaps.where(F.col("size") >= now.piece), units)
+        taken.append(swept.where("kind = 0 and piece is not null").select(F.col("piece").alias("unit"), "taken", F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("size")).alias("offset")))
         gaps = swept.where("kind = 0").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
-        rest = swept.where("kind = 1 and piece is null").select("id", "size")
-        before, now = now, left(rest)
-        new = -(-now.sum // capacity) if now.n > (1 - FEW) * before.n else 0
-    return out
+        units = swept.where("kind = 1 and piece is null").select("id", "size")
+        now = left(units, gaps)
+    if not taken:
+        return []
+    runs = reduce(DataFrame.union, taken).withColumn("s", F.expr(f"shiftright(unit, {RANK})"))
+    each = runs.select("s", "unit", "sequence_id", "offset", F.explode(F.expr("sequence(0, cast(taken div s as int) - 1)")).alias("i"))
+    each = each.select(F.col("s").cast("int").alias("size"), (F.col("unit") - F.shiftleft("s", RANK) + F.col("i")).alias("rank"), "sequence_id", (F.col("offset") + F.col("i") * F.col("s")).cast("int").alias("offset"))
+    return [ranked.join(each, ["size", "rank"]).select("id", "sequence_id", "offset")]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -712,3 +712,52 @@ def test_pipeline(spark, tmp_path, docs):
         want[i] += n
     assert ends == want
     assert Counter(map(str, C.run(spark, str(tmp_path)).collect())) == Counter(map(str, last))
+
+
+def _sequences(spark, lengths):
+    """How many sequences of 1,024 hold pieces of these lengths, checked to be gapless, and how many sweeps that took."""
+    sweeps, plain = [], packing.sweep
+
+    def counted(*tables):
+        sweeps.append(1)
+        return plain(*tables)
+
+    packing.sweep = counted
+    try:
+        df = spark.createDataFrame(list(enumerate(lengths)), "id long, size int").repartition(4)
+        placed = [r for part in packing.place(df) for r in part.collect()]
+    finally:
+        packing.sweep = plain
+    assert sorted(r.id for r in placed) == [i for i, n in enumerate(lengths) if n <= 512]
+    ends = {i: n for i, n in enumerate(lengths) if n > 512}
+    for r in sorted(placed, key=lambda r: r.offset):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + lengths[r.id]
+    assert max(ends.values()) <= 1024
+    return len(ends), len(sweeps)
+
+
+def test_short_pieces_fill_sequences(spark):
+    rng = random.Random(4)
+    lengths = [rng.randint(3, 16) for _ in range(1500)]
+    n, sweeps = _sequences(spark, lengths)
+    assert n <= -(-sum(lengths) // 1024) + 1 and sweeps <= 25
+
+
+def test_pieces_of_one_token(spark):
+    n, sweeps = _sequences(spark, [1] * 100_000)
+    assert n in (98, 99) and sweeps <= 25
+
+
+def test_long_and_short_pieces_come_near_best_fit_decreasing(spark):
+    rng = random.Random(8)
+    lengths = [min(1024, 1 + int(rng.expovariate(1 / rng.choice([10, 300, 900])))) for _ in range(3000)]
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((i for i, r in enumerate(room) if r >= n), key=lambda i: room[i], default=None)
+        if fit is None:
+            room.append(1024)
+            fit = -1
+        room[fit] -= n
+    n, sweeps = _sequences(spark, lengths)
+    assert n <= 1.005 * len(room) + 1 and sweeps <= 40
