@@ -110,7 +110,9 @@ def build(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     records = materialize(rows.select("digest", revisit.alias("revisit"), salt.alias("salt"), header.alias("header")), "records")
     packed = src.select("payload").mapInArrow(_payloads, "digest binary, packed binary")
     packed = packed.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, packed binary")
-    packed = packed.join(first.select("of", "copies"), F.col("digest") == F.col("of")).select("digest", "copies", "packed")
+    # few payloads are so common, if any, so most often the payloads needn't be shuffled for this
+    common = materialize(first.where("copies > 1").select("of", "copies"), "common_payloads")
+    packed = packed.join(common, F.col("digest") == F.col("of"), "left").select("digest", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "packed")
     return records, materialize(packed, "payloads")
 
 
@@ -138,41 +140,59 @@ def _page(x: str | None) -> int | None:
     return None if at in (None, "none") else int(at)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each payload unpacked and checked once: its digest, length and SHA-1."""
+_READ = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+
+def _facts(header: bytes, size: int, sha1: str) -> tuple:
+    """What a record says of itself; what it says of its payload must be so."""
+    got = parse(header)
+    if got["warc-payload-digest"] != f"sha1:{sha1}":
+        raise ValueError("a payload doesn't match its record")
+    block = len(header) - header.index(END) - len(END)
+    if int(got["content-length"]) != block + (0 if got["warc-type"] == "revisit" else size):
+        raise ValueError("a record's length isn't what it says")
+    return _page(got["warc-record-id"]), size, sha1, got["warc-type"], _page(got.get("warc-refers-to"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records put together from header and payload, byte for byte, and read."""
     for b in batches:
-        out = []
-        for digest, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            payload = zlib.decompress(packed)
+        rows = []
+        for digest, header, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            record = header + zlib.decompress(packed)
+            payload = memoryview(record)[parse(record)["payload_at"] :]
             if hashlib.sha256(payload).digest() != digest:
                 raise ValueError("a payload doesn't match its digest")
-            out.append((digest, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()))
-        cols = list(zip(*out, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string()), strict=True)], ["of", "bytes", "sha1"])
+            rows.append((digest, *_facts(record[: len(record) - len(payload)], len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), *_TYPES), strict=True)], ["digest", *_READ])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records parsed from their exact bytes; what they say of their payload must be so."""
+def _revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Revisits, read from their exact bytes and the facts of the payload that they revisit."""
     for b in batches:
-        rows = []
-        for header, size, sha1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            got = parse(header)
-            if got["warc-payload-digest"] != f"sha1:{sha1}":
-                raise ValueError("a payload doesn't match its record")
-            block = len(header) - header.index(END) - len(END)
-            if int(got["content-length"]) != block + (0 if got["warc-type"] == "revisit" else size):
-                raise ValueError("a record's length isn't what it says")
-            rows.append((_page(got["warc-record-id"]), size, sha1, got["warc-type"], _page(got.get("warc-refers-to"))))
+        rows = [_facts(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _READ)
 
 
 def read_back(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """One row per record, parsed and checked. Payloads are verified once each and only their facts are joined, so a common payload costs its records nothing."""
-    facts = materialize(payloads.select("digest", "packed").mapInArrow(_verified, "of binary, bytes long, sha1 string"), "facts")
-    rows = records.join(facts, F.col("digest") == F.col("of")).select("header", "bytes", "sha1")
-    return rows.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, read from the reconstructed records.
+
+    A response is its header joined with its payload (``originals``); the whole record is
+    parsed, its payload digested anew and compared with what the archive's key and the
+    record's own lines say. A revisit has no payload: it is joined with the facts that
+    were read from responses of its payload, so a common payload costs its revisits
+    nothing. Repeated records repeat; no records give no rows.
+    """
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    responses = originals(records, payloads).where("packed is not null").mapInArrow(_whole, f"digest binary, {kind}")
+    responses = materialize(responses, "responses")
+    facts = responses.groupBy(F.col("digest").alias("of")).agg(F.first("payload_bytes").alias("bytes"), F.first("payload_digest").alias("sha1"))
+    facts = materialize(facts, "facts")
+    rows = records.where("revisit").join(facts, F.col("digest") == F.col("of")).select("header", "bytes", "sha1")
+    return responses.select(*_READ).union(rows.mapInArrow(_revisits, kind))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0) -> DataFrame:
