@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Training takes this many labelled texts of each language at most, so many in all (of more languages than
-#: that, the most frequent), and of a text's n-grams the so many most frequent.
-SAMPLE, ROWS, KEPT = 300, 6000, 8192
+#: Training takes this many labelled texts of each language at most, and so many in all (of more languages than that, the most frequent).
+SAMPLE, ROWS = 300, 6000
 #: Texts whose n-grams are laid out as a matrix at once.
 BLOCK = 512
 #: Languages up to which the best of several random codes is looked for.
@@ -180,40 +179,44 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's most frequent n-grams and their rates, packed."""
+    """Each text's n-grams and their rates, packed."""
     for b in batches:
         out = []
         for t in b.column(1).to_pylist():
             at, n = grams(t)
-            rate = (n / max(1, n.sum())).astype("<f4")
-            top = np.sort(np.argsort(-n, kind="stable")[:KEPT])
-            out.append((at[top].astype("<u2").tobytes(), rate[top].tobytes()))
+            out.append((at.astype("<u2").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in out], pa.binary()), pa.array([r for _, r in out], pa.binary())], ["k", "grams", "rates"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> dict:
     """The model, from a bounded sample of labelled rows outside the held-out third.
 
-    Of each language the ``sample`` rows with the smallest id hashes are taken, fewer
-    of each if they would be over ``rows`` in all; of more than ``rows`` languages
-    the most frequent are learned. Rows that repeat id and text count once. The
-    sample is chosen on ids alone; whole texts are then counted in tasks, and the
-    counts, bounded by rows x KEPT numbers, reach the driver. Reruns agree.
+    Of each language the ``sample`` rows with the smallest hashes of id and text are
+    taken, fewer of each if they would be over ``rows`` in all; of more than ``rows``
+    languages the most frequent are learned. Rows that repeat id and text count once.
+    The sample is chosen on hashes alone; whole texts are then counted in tasks, and
+    their sparse counts reach the driver one by one: at most ``rows`` times DIM
+    numbers, usually some thousand a text. Reruns agree.
     """
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     known = docs.where(lang.isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(lang.alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = ["lang", "o", "th"]
-    ids = known.select(*keys).distinct()
+    # rows of one id are told apart by their texts, or a language could hang on one number
+    place = F.pmod(F.xxhash64("o", "th"), F.lit(1 << 30))
+    ids = materialize(known.select(*keys).distinct().withColumn("place", place), "labelled")
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
     some = materialize(counts.orderBy(F.desc("n"), "lang").limit(rows), "languages")
     learned = some.count()
     if not learned:
         return fit([], [])
     each = max(1, min(sample, rows // learned))
-    # a share of each language that holds some times as many rows, so that ranking moves few of them
-    place = F.pmod("o", F.lit(1 << 30))
-    ids = ids.join(F.broadcast(some), "lang").where(place / float(1 << 30) < (4 * each + 100) / F.col("n")).withColumn("place", place)
+    # a share of each language that holds some times as many rows, so that ranking moves few of them, or all if it should hold too few
+    share = (4 * each + 100) / F.col("n") * (1 << 30)
+    held = ids.join(F.broadcast(some), "lang").where(F.col("place") < share).groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("held"))
+    enough = F.coalesce(F.col("held"), F.lit(0)) >= F.least(F.col("n"), F.lit(each))
+    shares = materialize(some.join(F.broadcast(held), F.col("lang") == F.col("of"), "left").select("lang", F.when(enough, share).otherwise(float(1 << 30)).alias("share")), "shares")
+    ids = ids.join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share"))
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "o", "th"))).where(F.col("nth") <= each).select(*keys)
     chosen = known.join(F.broadcast(ids), keys).dropDuplicates(keys)
     found = sorted((r.lang, r.o, r.th, bytes(r.grams), bytes(r.rates)) for r in chosen.select(F.struct(*keys).alias("k"), "text").mapInArrow(_counted, "k struct<lang:string,o:long,th:long>, grams binary, rates binary").select("k.*", "grams", "rates").toLocalIterator())
