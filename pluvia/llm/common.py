@@ -48,6 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by names that may hold dots and backticks."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda within uses it for every element."""
     return F.transform(F.array(value), body)[0]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 from .substring_dedup import _chunks, _grouped
 
 LONG, MANY = 40, 5
@@ -345,8 +345,7 @@ def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def cut(text: pd.Series, told: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else _cut(t.encode(), x)[2].decode() for t, x in zip(text, told, strict=True)], dtype=object)
 
-    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    own = docs.select(F.struct(*quoted).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NOBODY))).alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
+    own = docs.select(F.struct(*quoted(docs)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NOBODY))).alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
     rows = own.join(common_lines(docs, many, id_col, text_col).hint("merge"), ["doc_id", "th"], "left")
     text, some = F.col("row").getField(text_col), F.col("told").isNotNull()
     new = F.when(some, cut(F.when(some, text.cast("string")), F.col("told"))).otherwise(text)

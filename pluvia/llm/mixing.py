@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order, materialize, word_count
+from .common import in_order, materialize, quoted, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = taken.groupBy(name("doc_id").alias("_id"), name("source").alias("_source"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
     taken = materialize(taken.where("_sum > 0").select(*keys, F.expr("_sum div _rows").alias("_each"), F.expr("_sum % _rows").alias("_rest")), "taken")
     th = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
-    own = docs.select(F.struct(*docs.columns).alias("row"), name(id_col).alias("_id"), name(source_col).alias("_source"), th.alias("_th"))
+    own = docs.select(F.struct(*quoted(docs)).alias("row"), name(id_col).alias("_id"), name(source_col).alias("_source"), th.alias("_th"))
     each = own.join(taken.where("_each > 0"), keys).select("row", F.col("_each").alias("_n"))
     out = each
     if taken.where("_rest > 0").limit(1).count():

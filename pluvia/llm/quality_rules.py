@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, flat, let, materialize
+from .common import WORD, flat, let, materialize, quoted
 
-#: A line goes if over this share of its host's distinct texts hold it, and at least so many.
+#: A line goes if over this share of its host's documents hold it, and at least so many.
 SHARE, LEAST = 0.05, 10
 #: A document is depleted if lines with more than this share of its word characters go.
 DEPLETED = 0.5
@@ -57,10 +57,10 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(stay, "\n")
 
 
-def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool, copies: bool = False) -> DataFrame:
+def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool, copies: bool = True) -> DataFrame:
     """A narrow row per document with its counts and its lines' hashes and lengths: the one pass over the texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *[F.struct(*docs.columns).alias("row")] * whole)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *[F.struct(*quoted(docs)).alias("row")] * whole)
     words = let(
         F.split(flat(F.col("text")), " ", -1),
         lambda parts: let(
@@ -95,7 +95,7 @@ def common_lines(facts: DataFrame, share: float = SHARE, least: int = LEAST) ->
     """(of, common): for each host that has any, the hashes of the lines above both limits.
 
     Documents are told apart by the facts' ``th``. A host has at most (mean number of
-    lines of its texts / share) entries. A null host is a host of its own; lines
+    lines of its documents / share) entries. A null host is a host of its own; lines
     without a word and null texts have no hashes; repeated rows count once. Of an
     empty table nothing is common.
     """
@@ -109,7 +109,7 @@ def common_lines(facts: DataFrame, share: float = SHARE, least: int = LEAST) ->
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, copies: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False, share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, copies: bool = True
 ) -> DataFrame:
     """One row per document, in any order: its counts, base_failed, kept and more.
 
@@ -122,10 +122,11 @@ def quality_rules(
     also row, a struct of all columns of ``docs``, its text without those lines.
 
     The method: lines are normalised (lower case, without blanks) and hashed;
-    distinct texts per host and line are counted, as exact copies are for deduplication
-    to settle (with ``copies`` distinct doc_ids, so that copies count each); lines held by more than ``share``
-    of a host's texts, and at least ``least``, are removed; a document of which they
-    take over ``depleted`` of the characters in words isn't kept. All counts and the
+    distinct documents per host and line are counted, by doc_id and, of rows without one,
+    by text (unless ``copies``, by text throughout, so that exact copies count once);
+    lines held by more than ``share`` of a host's documents, and at least ``least``, are
+    removed; a document of which they take over ``depleted`` of the characters in words
+    isn't kept. All counts and the
     verdict are of the text as it came; the text without its common lines is in
     ``row`` only, its other lines and a text without common ones unchanged.
 
@@ -158,16 +159,16 @@ def quality_rules(
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, coalesce('i' || doc_id, 't' || text, '') AS who,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT r, t.i, array_to_string(w[t.i:t.i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT again.i + j) AS n FROM again, range(0, 5) AS u(j) GROUP BY r),
-lines AS (SELECT r, source, text, regexp_replace(lower(x), '[\x20\x09-\x0D]+', '', 'g') AS nl,
+lines AS (SELECT r, source, who, regexp_replace(lower(x), '[\x20\x09-\x0D]+', '', 'g') AS nl,
     length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS c FROM d, unnest(l) AS t(x)),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-freq AS (SELECT l.source, nl FROM (SELECT source, nl, count(DISTINCT text) AS n FROM lines GROUP BY ALL) l
+hosts AS (SELECT source, count(DISTINCT who) AS texts FROM d GROUP BY source),
+freq AS (SELECT l.source, nl FROM (SELECT source, nl, count(DISTINCT who) AS n FROM lines GROUP BY ALL) l
     JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 10 AND n > 0.05 * texts),
 gone AS (SELECT r, count(*) AS k, sum(c) AS c FROM lines JOIN freq ON lines.nl = freq.nl AND lines.source IS NOT DISTINCT FROM freq.source GROUP BY r),
 m AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_forest, materialize, popcount
+from .common import local_forest, materialize, popcount, quoted
 from .components import connected_components
 
 RADIUS = 4
@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own, placed = _placed(docs, id_col, text_col)
     least = placed.where(F.col("is_least") & F.col("first").isNotNull()).select(F.col("fp").alias("_fp"), "first")
     stay = own.join(least, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("first"))).groupBy("doc_id").agg(F.min("th").alias("th"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), _hash(F.col(text_col)).alias("_th"))
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col(id_col).cast("long").alias("_id"), _hash(F.col(text_col)).alias("_th"))
     # the hashes are compared in a way that is no key of the join, so that rows move once and are dealt by id alone, as the window wants
     kept = rows.join(stay, (F.col("_id") == F.col("doc_id")) & (F.col("_th").bitwiseXOR(F.col("th")) == 0), "left_semi")
     whole = F.xxhash64(F.col("row"))

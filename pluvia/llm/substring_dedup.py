@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 WINDOW = 13
 PERIOD = 7
@@ -386,7 +386,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(text: pd.Series, told: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else _kept(t.encode(), x)[2].decode() for t, x in zip(text, told, strict=True)], dtype=object)
 
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
+    own = docs.select(F.struct(*quoted(docs)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col).cast("string")).alias("th"))
     rows = own.join(_places(docs, id_col, text_col), ["doc_id", "th"], "left")
     text, some = F.col("row").getField(text_col), F.col("told").isNotNull()
     new = F.when(some, cut(F.when(some, text.cast("string")), F.col("told"))).otherwise(text)
