@@ -62,9 +62,12 @@ def test_quality_rules(spark, docs):
     lines = {}
     norm = lambda x: "".join(w.decode() for w in x.lower().encode().split())
     for s in {r[3] for r in ROWS}:
-        texts = {r[1] or "" for r in ROWS if r[3] == s}
-        n = Counter(y for t in texts for y in {norm(x) for x in t.split("\n")} - {""})
-        lines[s] = {k for k, v in n.items() if v >= 4 and v > 0.3 * len(texts)}
+        held = {}
+        for r in ROWS:
+            if r[3] == s:
+                held.setdefault(r[1] or "" if r[0] is None else r[0], set()).update({norm(x) for x in (r[1] or "").split("\n")} - {""})
+        n = Counter(y for ys in held.values() for y in ys)
+        lines[s] = {k for k, v in n.items() if v >= 4 and v > 0.3 * len(held)}
     for i, t, _, s, _ in ROWS:
         w, raw = words(t), [x for x in (t or "").split("\n") if words(x)]
         win = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
@@ -112,11 +115,11 @@ def test_common_lines_without_broadcast(spark, docs, monkeypatch):
     assert found(quality_rules.quality_rules(docs, share=0.3, least=4)) == want
 
 
-def test_copies_count_each_if_asked(spark):
+def test_copies_count_each_unless_asked(spark):
     rows = [(i, "menu bar\n" + " ".join(f"x{k}" for k in range(20)), "en", "s", 1) for i in range(12)] + [(100 + i, f"text {i} " + " ".join(f"{i}y{k}" for k in range(20)), "en", "s", 1) for i in range(12)]
     df = spark.createDataFrame(rows + rows[:3], SCHEMA)
-    once = quality_rules.quality_rules(df).collect()
-    each = {r.doc_id: r.n_common_lines for r in quality_rules.quality_rules(df, copies=True).collect()}
+    once = quality_rules.quality_rules(df, copies=False).collect()
+    each = {r.doc_id: r.n_common_lines for r in quality_rules.quality_rules(df).collect()}
     assert not any(r.n_common_lines for r in once) and len(once) == 27
     assert each == {i: 2 if i < 100 else 0 for i, *_ in rows}
 
@@ -199,6 +202,22 @@ def test_languages_of_many_labels_and_repeated_rows(spark, monkeypatch):
     assert len(out) == 40 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_all_texts_of_one_id_are_learned(spark):
+    rng = random.Random(6)
+    alphabets = {"a": "abcdef", "b": "ghijkl", "c": "mnopqr"}
+    rows = [(i, "".join(rng.choices(alphabets[x] + " ", k=40)), x, "s", 1) for x in ("a", "b") for i in range(60)]
+    for one in [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:3]:
+        hot = [(one, "".join(rng.choices(alphabets["c"] + " ", k=30)), "c", "s", 1) for _ in range(4000)]
+        model = language_id.train(spark.createDataFrame(rows + hot, SCHEMA), sample=20)
+        assert model["names"] == ["a", "b", "c"] and language_id.predict(model, "mnop rqpo nm")[0] == "c"
+
+
+def test_all_grams_of_a_long_text_are_counted():
+    text = "".join(chr(0x4E00 + i % 20_000) for i in range(60_000))
+    (batch,) = language_id._counted(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["k", "text"])]))
+    assert len(batch.column(1)[0].as_py()) // 2 == len(np.unique(np.concatenate(list(language_id.features(text))))) > 20_000
+
+
 def test_token_counts(spark, docs):
     vocab = token_counts.vocabulary()
     known = set(vocab)
@@ -597,7 +616,26 @@ def test_warc(spark, tmp_path):
         assert got["version"] == "WARC/1.1" and x.endswith(warc_store.END)
         head, _, block = x.partition(warc_store.END)
         assert len(block) - 4 == int(got["content-length"])
+    digests = {r.page_id: r.payload_digest for r in warc_store.archive(df).collect() if r.page_id is not None}
+    texts, records_ = {i: t or "" for i, _, t in rows if i is not None}, Counter()
+    for x in back:  # byte by byte: the header as it is stored, and the page's payload unless it is revisited
+        got = warc_store.parse(x)
+        page = warc_store._page(got["warc-record-id"])
+        payload = b"" if got["warc-type"] == "revisit" else (texts[page] if page is not None else "a").encode()
+        assert x[got["payload_at"] :] == payload + warc_store.END and (page is None or got["warc-payload-digest"] == f"sha1:{digests[page]}")
+        records_[x[: got["payload_at"]]] += 1
+    assert records_ == Counter(bytes(r.header) for r in records.collect())
     assert warc_store.archive(df.limit(0)).count() == 0
+    for column, table in (("packed", payloads), ("header", records)):
+        # one byte of one row is another; the table that archive builds is replaced by the damaged one
+        first_row = table.where("revisit = false" if column == "header" else "length(packed) > 20").orderBy(column).first()
+        raw = bytearray(zlib.decompress(first_row[column]) if column == "packed" else first_row[column])
+        raw[raw.index(b"sha1:") + 6 if column == "header" else 3] ^= 1
+        new = F.lit(bytes(zlib.compress(bytes(raw)) if column == "packed" else raw))
+        damaged = table.withColumn(column, F.when(F.col(column) == F.lit(bytes(first_row[column])), new).otherwise(F.col(column)))
+        with pytest.MonkeyPatch.context() as m, pytest.raises(Exception, match="match"):
+            m.setattr(warc_store, "build", lambda *_, c=column, d=damaged: (records, d) if c == "packed" else (d, payloads))
+            warc_store.archive(df).collect()
     bad = payloads.withColumn("packed", F.lit(zlib.compress(b"other")))
     with pytest.raises(Exception, match="digest"):
         warc_store.read_back(records, bad).collect()
