@@ -9,10 +9,9 @@ from pyspark.sql import SparkSession
 
 from . import __version__
 from .functions.decode import DEFAULTS
-from .functions.months import SERIES, arrays_to_wide
-from .operators.indicators import PER_VARIABLE, STRICT, bioclim
-from .plans.session import tuned
-from .sources.raster import expand, inspect, read_months, write_bio
+from .functions.months import SERIES
+from .operators.indicators import PER_VARIABLE, STRICT
+from .rasters import compute_bioclim
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     for s in SERIES:
         p.add_argument(f"--{s}-scale", type=float, default=DEFAULTS[s].scale)
         p.add_argument(f"--{s}-offset", type=float, default=DEFAULTS[s].offset)
-    p.add_argument("--nodata", type=float, default=-9999)
+    p.add_argument("--nodata", default="-9999", help="the missing mark, or 'file' for each file's own")
     p.add_argument("--nodata-policy", choices=(PER_VARIABLE, STRICT), default=PER_VARIABLE)
     p.add_argument("--strict-metadata", action="store_true")
     p.add_argument("--version", action="version", version=__version__)
@@ -41,12 +40,10 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.tile_size <= 0:
             raise ValueError("--tile-size must be positive")
-        files = {s: expand(getattr(a, s)) for s in SERIES}
-        grid = inspect(files, a.strict_metadata)
-        spark = tuned(SparkSession.builder.appName("pluvia").getOrCreate())
+        files = {s: getattr(a, s) for s in SERIES}
         scales = {f"{s}{k}": getattr(a, f"{s}_{k.lower()}") for s in SERIES for k in ("Scale", "Offset")}
-        pixels = read_months(spark, files, tileSize=a.tile_size, raw=a.raw, nodata=a.nodata, strictMetadata=a.strict_metadata, **scales)
-        write_bio(bioclim(arrays_to_wide(pixels, kind="float"), nodata_policy=a.nodata_policy, precision="float"), a.outdir, grid, a.prefix)
+        spark = SparkSession.builder.appName("pluvia").getOrCreate()
+        compute_bioclim(spark, **files, outdir=a.outdir, prefix=a.prefix, nodata_policy=a.nodata_policy, tileSize=a.tile_size, raw=a.raw, nodata=a.nodata, strictMetadata=a.strict_metadata, **scales)
     except Exception as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

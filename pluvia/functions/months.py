@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,23 @@ def long_to_wide(df: DataFrame, id_col: str = "pixel_id", month_col: str = "mont
     return df.groupBy(F.col(id_col).alias("pixel_id")).agg(*cells)
 
 
+def tables_to_wide(tables: dict[str, DataFrame], id_col: str = "pixel_id", month_col: str = "month", value_col: str = "value", kind: str = "double") -> DataFrame:
+    """One row per pixel from a long table (pixel, month, value) for each series.
+
+    The tables are united and aggregated at once, so there is one shuffle, by pixel, of
+    partial rows, where joining them would take one for each and lose pixels that a table
+    lacks: those are rows with NULL for that series. Of several rows for one pixel and
+    month the largest value wins, months outside 1..12 are ignored, and so are rows
+    without a pixel. A series without a table is an error.
+    """
+    if missing := set(SERIES) - set(tables):
+        raise ValueError(f"no table of {sorted(missing)}")
+    parts = [t.select(F.col(id_col).cast("long").alias("pixel_id"), F.lit(s).alias("series"), F.col(month_col).cast("int").alias("month"), missing_to_null(F.col(value_col), kind).alias("value")) for s, t in tables.items()]
+    rows = reduce(DataFrame.union, parts).where("pixel_id is not null")
+    cells = [F.max(F.when((F.col("series") == s) & (F.col("month") == m), F.col("value"))).alias(column(s, m)) for s in SERIES for m in MONTHS]
+    return rows.groupBy("pixel_id").agg(*cells)
+
+
 def wide_to_long(df: DataFrame, id_col: str = "pixel_id", series: tuple[str, ...] = SERIES) -> DataFrame:
     """One row per pixel and month."""
     rows = [F.struct(F.lit(m).alias("month"), *[F.col(column(s, m)).alias(s) for s in series]) for m in MONTHS]

@@ -62,6 +62,21 @@ def _there(value: Column, series: str, other: str) -> Column:
     return F.get(F.array(*_quarters(other)), at.cast("int")) / F.lit(3)
 
 
+#: The indicators that need each series.
+_USERS = {
+    "tas": {"bio01", "bio04", "bio08", "bio09", "bio10", "bio11", "bio18", "bio19"},
+    "tasmax": {"bio02", "bio03", "bio05", "bio07"},
+    "tasmin": {"bio02", "bio03", "bio06", "bio07"},
+    "pr": {"bio08", "bio09", *NAMES[11:]},
+}
+
+
+def series_of(outputs: Iterable[str], nodata_policy: str = PER_VARIABLE) -> tuple[str, ...]:
+    """The series that the named indicators need."""
+    wanted = set(outputs)
+    return tuple(s for s in SERIES if nodata_policy == STRICT or _USERS[s] & wanted)
+
+
 def bioclim(df: DataFrame, outputs: Iterable[str] = NAMES, nodata_policy: str = PER_VARIABLE, precision: str = "double", keep: Iterable[str] = ("pixel_id",)) -> DataFrame:
     """``keep`` and the named indicators of each pixel of a wide table.
 
@@ -79,12 +94,7 @@ def bioclim(df: DataFrame, outputs: Iterable[str] = NAMES, nodata_policy: str =
     if precision not in ("double", "float"):
         raise ValueError(f"no such precision: {precision}")
     wanted = set(outputs)
-    used: set[str] = set()
-    used |= {"tas"} if wanted & {"bio01", "bio04", "bio08", "bio09", "bio10", "bio11", "bio18", "bio19"} else set()
-    used |= {"tasmax"} if wanted & {"bio02", "bio03", "bio05", "bio07"} else set()
-    used |= {"tasmin"} if wanted & {"bio02", "bio03", "bio06", "bio07"} else set()
-    used |= {"pr"} if wanted & {"bio08", "bio09", *NAMES[11:]} else set()
-    check_wide(df, tuple(s for s in SERIES if nodata_policy == STRICT or s in used))
+    check_wide(df, series_of(outputs, nodata_policy))
     staged, s = _staged(df, wanted, precision)
     tas, pr = months("tas"), months("pr")
 

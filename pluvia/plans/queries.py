@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions import decode as D
 from ..functions import primitives as P
-from ..functions.months import MONTHS, SERIES, arrays_to_wide, column, complete, long_to_wide, months, wide_to_arrays, wide_to_long
+from ..functions.longform import QUARTERS, STARTS, quarters_long
+from ..functions.months import MONTHS, SERIES, arrays_to_wide, column, complete, long_to_wide, months, tables_to_wide, wide_to_arrays, wide_to_long
 from ..operators.indicators import NAMES, STRICT, bioclim
-from ..sources.raster import Grid, read_months, read_rasters, write_bio, write_rasters
+from ..sources.files import located
+from ..sources.raster import Grid, read_grid, read_months, read_rasters, write_bio, write_rasters
 from ..sources.tiff import EPSG_4326
 from . import oracle as O
 from .session import tuned
+from .sql import register_bioclim
 from .views import long, long_sql, wide, wide_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,28 +154,65 @@ _add(
     + ", " + " and ".join(f"{c} is not null" for c in _WIDE) + " as complete from px",
 )
 
+# quarters of the long table, by window frames
+_add(
+    "quarters_long_form",
+    lambda spark, sf_dir: quarters_long(long(tuned(spark), sf_dir, "px_part")),
+    f"select pixel_id, {', '.join(f'cast({O.arg(O.cols(s), how)} as int) as {n}' for n, (s, how) in STARTS.items())}, {', '.join(f'cast({O.indicators()[n]} as double) as {n}' for n in QUARTERS)} from ({wide_sql('px_part')})",
+)
+
+# four tables of one series each, in which some months and some pixels of the others are absent and most months repeat
+_TABLES = {"tas": ("true", "l_quantity"), "tasmax": ("l_returnflag <> 'A'", "l_quantity"), "tasmin": ("l_linestatus = 'F'", "l_quantity"), "pr": ("true", "l_linenumber")}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tuned(spark).read.parquet(f"{sf_dir}/lineitem.parquet")
+    return bioclim(tables_to_wide({s: lines.where(rows).select(F.col("l_partkey").alias("pixel_id"), F.month("l_shipdate").alias("month"), F.col(v).alias("value")) for s, (rows, v) in _TABLES.items()}))
+
+
+_CELLS = ", ".join(f"max(case when month(l_shipdate) = {m} and {rows} then cast({v} as double) end) as {column(s, m)}" for s, (rows, v) in _TABLES.items() for m in MONTHS)
+_add("series_tables", _tables, O.select(O.indicators(), f"select cast(l_partkey as bigint) as pixel_id, {_CELLS} from lineitem group by l_partkey"))
+
+
+def _from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_bioclim(wide(tuned(spark), sf_dir, "px_part"))
+    return spark.sql("SELECT a.pixel_id, a.bio12, b.bio15 FROM bioclim() a JOIN bioclim('strict') b USING (pixel_id)")
+
+
+_add(
+    "sql_table_function",
+    _from_sql,
+    f"with a as ({O.select({k: O.indicators()[k] for k in ('bio12', 'bio15')}, wide_sql('px_part'))}), b as (select pixel_id, {' and '.join(f'{c} is not null' for c in _WIDE)} as complete from ({wide_sql('px_part')})) "
+    "select pixel_id, bio12, case when complete then bio15 end as bio15 from a join b using (pixel_id)",
+)
+
 # The raster source and sink: pixels go to 48 files, a grid GRID cells wide, and come back from them.
 GRID = 50
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that all executors mount: below ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
+    """A folder that all executors reach: below ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root.removeprefix("file://") if root else None
-    if root is None and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    out = tempfile.mkdtemp(prefix="pluvia-rasters-", dir=root)
-    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    if root is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        out = tempfile.mkdtemp(prefix="pluvia-rasters-")
+        atexit.register(shutil.rmtree, out, ignore_errors=True)
+        return out
+    out = f"{root.rstrip('/')}/pluvia-rasters-{uuid.uuid4().hex}"
+    store, inner = located(out)
+    store.create_dir(inner, recursive=True)
+    atexit.register(store.delete_dir, inner)
     return out
 
 
-def _rasters(spark: SparkSession, px: DataFrame) -> tuple[dict[str, list[str]], Grid, str]:
-    """``px`` (pixel_id and 48 columns) as 48 files."""
+def _rasters(spark: SparkSession, px: DataFrame, series: tuple[str, ...] = SERIES) -> tuple[dict[str, list[str]], Grid, str]:
+    """``px`` (pixel_id and twelve columns a series) as twelve files a series."""
     last = px.agg(F.max("pixel_id")).first()[0] or 0
     grid = Grid(GRID, int(last) // GRID + 1, ((0.5, 0.5, 0.0), (0.0, 0.0, 0.0, -20.0, 40.0, 0.0), EPSG_4326), None)
     out = _folder(spark)
-    write_rasters(px, out, grid, {c: c for c in _WIDE})
-    return {s: [f"{out}/{column(s, m)}.tif" for m in MONTHS] for s in SERIES}, grid, out
+    write_rasters(px, out, grid, {column(s, m): column(s, m) for s in series for m in MONTHS})
+    return {s: [f"{out}/{column(s, m)}.tif" for m in MONTHS] for s in series}, grid, out
 
 
 def _as_stored(sql: str) -> str:
@@ -219,3 +260,29 @@ _add(
     f"select pixel_id, {', '.join(f'cast(cast({n} as float) as double) as {n}' for n in NAMES)} from ({O.select(O.indicators(), _as_stored(wide_sql('px_part')))}) "
     f"where coalesce({', '.join(NAMES)}) is not null",
 )
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One indicator from rasters, by URI: only the twelve files of its series are opened, which are all that there are."""
+    px = wide(tuned(spark), sf_dir, "px_part")
+    files, _, out = _rasters(spark, px.select("pixel_id", *[column("pr", m) for m in MONTHS]), ("pr",))
+    uris = {"pr": [p if "://" in p else f"file://{p}" for p in files["pr"]]}
+    return bioclim(arrays_to_wide(read_months(spark, uris, ("pr",), raw=True), series=("pr",)), ("bio12",)).where("bio12 is not null")
+
+
+_add("raster_one_series", _pruned, f"select * from ({O.select({'bio12': O.indicators()['bio12']}, _as_stored(wide_sql('px_part')))}) where bio12 is not null")
+
+
+def _grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the grid lies, as read from the files' headers."""
+    files, _, _ = _rasters(spark, wide(tuned(spark), sf_dir, "px_part").select("pixel_id", *[column("pr", m) for m in MONTHS]), ("pr",))
+    return read_grid(spark, files, ("pr",))
+
+
+_WKT = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'
+_add(
+    "raster_grid",
+    _grid_of,
+    f"select {GRID} as width, cast(max(l_partkey) // {GRID} + 1 as int) as height, '{_WKT}' as wkt, cast(-20 as double) as x0, cast(0.5 as double) as dx_col, cast(0 as double) as dx_row, "
+    "cast(40 as double) as y0, cast(0 as double) as dy_col, cast(-0.5 as double) as dy_row from lineitem",
+)

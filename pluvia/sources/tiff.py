@@ -5,18 +5,21 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
+
+from .files import merged
 
 # Fixed values of the TIFF, GeoTIFF and GDAL tag lists.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 SUBFILE, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 254, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
 TRANSFORM, GEO_DOUBLES, GEO_ASCII, PLANAR = 34264, 34736, 34737, 284
-NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END = 256, 257
@@ -101,6 +104,39 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits((np.array(codes, np.int32)[which] >> shift & 1).astype(np.uint8)).tobytes()
 
 
+def packbits_decode(data: bytes) -> bytes:
+    """Runs: a count below 128 and one byte more than it says as they are, or a count from 129 on and a byte that is repeated."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            if n > 128:
+                out.append(data[at + 1 : at + 2] * (257 - n))
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+def planes_split(image: np.ndarray) -> bytes:
+    """The floating-point predictor: of each row all first bytes, then all second ones, as differences. ``image`` is rows of cells or of cells of several bands."""
+    rows = np.ascontiguousarray(image).astype(image.dtype.newbyteorder(">"))
+    bands, wide = (rows.shape[2] if rows.ndim == 3 else 1), rows.dtype.itemsize
+    planes = rows.view(np.uint8).reshape(len(rows), -1, wide).transpose(0, 2, 1).reshape(len(rows), -1)
+    out = planes.copy()
+    out[:, bands:] -= planes[:, :-bands]
+    return out.tobytes()
+
+
+def planes_joined(raw: bytes, shape: tuple[int, int, int], dtype: np.dtype) -> np.ndarray:
+    """Rows, columns and bands again."""
+    rows, cols, bands = shape
+    planes = np.frombuffer(raw, np.uint8, rows * cols * bands * dtype.itemsize).reshape(rows, -1, bands)
+    planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, cols * bands)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(shape).astype(dtype)
+
+
 #: Tags that say where a grid lies, and their types.
 GEO_TAGS = ((PIXEL_SCALE, 12), (TIE_POINT, 12), (GEO_KEYS, 3), (TRANSFORM, 12), (GEO_DOUBLES, 12), (GEO_ASCII, 2))
 
@@ -196,15 +232,21 @@ def directories(f: BinaryIO) -> list[Image]:
 
 def _unpacked(raw: bytes, image: Image, shape: tuple[int, int]) -> np.ndarray:
     how = image.one(COMPRESSION, NONE)
+    bands = image.one(SAMPLES, 1) if image.one(PLANAR, 1) == 1 else 1
     if how == LZW:
         raw = lzw_decode(raw)
     elif how in (DEFLATE, OLD_DEFLATE):
         raw = zlib.decompress(raw)
+    elif how == PACKBITS:
+        raw = packbits_decode(raw)
+    elif how == ZSTD:
+        raw = pa.decompress(raw, shape[0] * shape[1] * bands * image.dtype.itemsize, "zstd", asbytes=True)
     elif how != NONE:
         raise ValueError(f"compression {how} isn't supported")
-    bands = image.one(SAMPLES, 1) if image.one(PLANAR, 1) == 1 else 1
-    out = np.frombuffer(raw, image.dtype, shape[0] * shape[1] * bands).reshape(*shape, bands)
     predictor = image.one(PREDICTOR, 1)
+    if predictor == 3 and image.dtype.kind == "f":
+        return planes_joined(raw, (*shape, bands), image.dtype)[:, :, 0]
+    out = np.frombuffer(raw, image.dtype, shape[0] * shape[1] * bands).reshape(*shape, bands)
     if predictor == 2:
         with np.errstate(over="ignore"):
             out = np.cumsum(out, axis=1, dtype=out.dtype)
@@ -214,7 +256,7 @@ def _unpacked(raw: bytes, image: Image, shape: tuple[int, int]) -> np.ndarray:
 
 
 def read_window(f: BinaryIO, image: Image, x: int, y: int, w: int, h: int) -> np.ndarray:
-    """A rectangle of the first band as stored; only the tiles or strips that it touches are read. Tiles that a file leaves out hold its missing mark."""
+    """A rectangle of the first band as stored; only the tiles or strips that it touches are read, neighbours at once. Tiles that a file leaves out hold its missing mark."""
     if x < 0 or y < 0 or w < 0 or h < 0 or x + w > image.width or y + h > image.height:
         raise ValueError("the window is outside the raster")
     mark = image.nodata
@@ -224,14 +266,14 @@ def read_window(f: BinaryIO, image: Image, x: int, y: int, w: int, h: int) -> np
     th, tw = image.block
     offsets, counts = (image.tags[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if image.tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
     across = -(-image.width // tw)
-    for r in range(y // th, (y + h - 1) // th + 1):
-        for c in range(x // tw, (x + w - 1) // tw + 1):
+    cells = [(r, c) for r in range(y // th, (y + h - 1) // th + 1) for c in range(x // tw, (x + w - 1) // tw + 1) if counts[r * across + c]]
+    for start, end, held in merged([(offsets[r * across + c], counts[r * across + c]) for r, c in cells]):
+        f.seek(start)
+        data = f.read(end - start)
+        for r, c in (cells[i] for i in held):
             rows = th if image.tiled else min(th, image.height - r * th)
-            k = r * across + c
-            if not counts[k]:
-                continue
-            f.seek(offsets[k])
-            tile = _unpacked(f.read(counts[k]), image, (rows, tw))
+            at = offsets[r * across + c] - start
+            tile = _unpacked(data[at : at + counts[r * across + c]], image, (rows, tw))
             y0, y1 = max(y, r * th), min(y + h, r * th + rows)
             x0, x1 = max(x, c * tw), min(x + w, (c + 1) * tw)
             out[y0 - y : y1 - y, x0 - x : x1 - x] = tile[y0 - r * th : y1 - r * th, x0 - c * tw : x1 - c * tw]
@@ -251,37 +293,36 @@ def pyramid(width: int, height: int, tile: int = 512) -> tuple[int, list[tuple[i
     return tile, levels
 
 
-def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan")) -> None:
-    """A float32 cloud-optimized GeoTIFF from ``rows(y, h)``, which gives rows of the full image; overviews take every second row and column."""
-    side, levels = pyramid(width, height, tile)
+#: What stands before the first directory: how tiles lie, which readers may rely on.
+STRUCTURE = b"LAYOUT=IFDS_BEFORE_DATA\nBLOCK_ORDER=ROW_MAJOR\nBLOCK_LEADER=SIZE_AS_UINT4\nBLOCK_TRAILER=LAST_4_BYTES_REPEATED\nKNOWN_INCOMPATIBLE_EDITION=NO\n "
+GHOST = b"GDAL_STRUCTURAL_METADATA_SIZE=%06d bytes\n" % len(STRUCTURE) + STRUCTURE
+#: Bytes that a tile has besides its own: its size before, its last four again behind.
+MARKS = 8
 
-    def packed(level: int, r: int, c: int) -> bytes:
-        step, h = 1 << level, min(side, levels[level][1] - r * side)
-        picked = [rows(min(height - 1, (r * side + i) * step), 1) for i in range(h)] if level else [rows(r * side, h)]
-        part = np.concatenate(picked)[:, ::step][:, c * side : (c + 1) * side]
-        cell = np.full((side, side), nodata, "<f4")
-        cell[: part.shape[0], : part.shape[1]] = part
-        return lzw_encode(cell.tobytes())
 
-    assemble(path, packed, width, height, geo, tile, nodata)
+def packed_tile(cells: np.ndarray, how: int = DEFLATE) -> bytes:
+    """A square of single-precision cells: split into byte planes and deflated, or by LZW without a predictor."""
+    cells = cells.astype("<f4")
+    return lzw_encode(cells.tobytes()) if how == LZW else zlib.compress(planes_split(cells), 6)
+
 
+def marked(data: bytes) -> bytes:
+    return struct.pack("<I", len(data)) + data + data[-4:]
 
-def assemble(path: str, packed: Callable[[int, int, int], bytes | None], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan")) -> None:
-    """A float32 cloud-optimized GeoTIFF of LZW tiles: directories first, then overviews from small to large, then the image.
 
-    ``packed(level, row, column)`` gives a tile, one at a time, or None for one that
-    is missing throughout. The file appears whole, by a rename.
+def heading(sizes: list[np.ndarray], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan"), how: int = DEFLATE) -> bytes:
+    """All bytes before the first tile of a float32 cloud-optimized GeoTIFF, from the sizes of its tiles (a grid for each level; 0: missing throughout).
+
+    Tiles follow in the order of ``in_file``, each with its marks.
     """
     tile, levels = pyramid(width, height, tile)
-    grid = [(-(-w // tile), -(-h // tile)) for w, h in levels]
     text = ("nan" if nodata != nodata else repr(nodata)).encode() + b"\0"
-    big = width * height * 4 > 3_000_000_000
-    head = 16 if big else 8
-    # sizes of directories are known before those of tiles
-    plans, at = [], head
+    big = sum(int(x.sum()) + MARKS * x.size for x in sizes) > 4_000_000_000
+    first = 16 if big else 8
+    plans, at = [], first + len(GHOST) + -(first + len(GHOST)) % 8
     for n, (w, h) in enumerate(levels):
-        k = grid[n][0] * grid[n][1]
-        entries = [(SUBFILE, 4, (int(n > 0),)), (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (32,)), (COMPRESSION, 3, (LZW,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (1,)), (TILE_WIDTH, 3, (tile,)), (TILE_HEIGHT, 3, (tile,)), (TILE_OFFSETS, 16 if big else 4, (0,) * k), (TILE_COUNTS, 4, (0,) * k), (FORMAT, 3, (3,))]
+        k = sizes[n].size
+        entries = [(SUBFILE, 4, (int(n > 0),)), (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (32,)), (COMPRESSION, 3, (how,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (1,)), *[(PREDICTOR, 3, (3,))] * (how != LZW), (TILE_WIDTH, 3, (tile,)), (TILE_HEIGHT, 3, (tile,)), (TILE_OFFSETS, 16 if big else 4, (0,) * k), (TILE_COUNTS, 4, tuple(sizes[n].ravel().tolist())), (FORMAT, 3, (3,))]
         if n == 0:
             places = [(t, kind, (v[0].encode("latin-1") + b"\0" if kind == 2 else v)) for (t, kind), v in zip(GEO_TAGS, geo, strict=False) if v]
             entries += sorted(places)
@@ -290,46 +331,88 @@ def assemble(path: str, packed: Callable[[int, int, int], bytes | None], width:
         extra = sum(x for x in (len(v) * SIZES[kind] for _, kind, v in entries) if x > (8 if big else 4))
         plans.append((entries, at, size))
         at += size + extra + (-(size + extra) % 8)
-    part = f"{path}.part"
-    with open(part, "wb") as f:
-        f.write(b"\0" * at)
-        spots = [([0] * (gw * gh), [0] * (gw * gh)) for gw, gh in grid]
-        for n in reversed(range(len(levels))):
-            for r in range(grid[n][1]):
-                for c in range(grid[n][0]):
-                    data = packed(n, r, c)
-                    if data:
-                        k = r * grid[n][0] + c
-                        spots[n][0][k], spots[n][1][k] = f.tell(), len(data)
-                        f.write(data)
-        f.seek(0)
-        f.write(b"II" + (struct.pack("<HHHQ", 43, 8, 0, head) if big else struct.pack("<HI", 42, head)))
-        for n, (entries, start, size) in enumerate(plans):
-            body, extra, room = b"", b"", 8 if big else 4
-            for tag, kind, v in entries:
-                v = spots[n][0] if tag == TILE_OFFSETS else spots[n][1] if tag == TILE_COUNTS else v
-                raw = v if kind == 2 else struct.pack(f"<{len(v)}{CODES[kind]}", *v)
-                if len(raw) > room:
-                    place, extra = start + size + len(extra), extra + raw
-                    raw = struct.pack("<Q" if big else "<I", place)
-                body += struct.pack("<HHQ" if big else "<HHI", tag, kind, len(v)) + raw.ljust(room, b"\0")
-            follows = plans[n + 1][1] if n + 1 < len(plans) else 0
-            f.seek(start)
-            f.write(struct.pack("<Q" if big else "<H", len(entries)) + body + struct.pack("<Q" if big else "<I", follows) + extra)
-    os.replace(part, path)
-
-
-def cog_faults(path: str) -> list[str]:
-    """What keeps a file from being a cloud-optimized GeoTIFF; empty if nothing does."""
-    with open(path, "rb") as f:
-        images = directories(f)
+    offsets: list[np.ndarray] = [np.zeros(0, np.int64)] * len(levels)
+    end = at
+    for n in reversed(range(len(levels))):
+        flat = sizes[n].ravel().astype(np.int64)
+        each = np.where(flat > 0, flat + MARKS, 0)
+        offsets[n] = np.where(flat > 0, end + np.cumsum(each) - each + 4, 0)
+        end += int(each.sum())
+    out = bytearray(at)
+    head = b"II" + (struct.pack("<HHHQ", 43, 8, 0, plans[0][1]) if big else struct.pack("<HI", 42, plans[0][1])) + GHOST
+    out[: len(head)] = head
+    for n, (entries, start, size) in enumerate(plans):
+        body, extra, room = b"", b"", 8 if big else 4
+        for tag, kind, v in entries:
+            v = offsets[n].tolist() if tag == TILE_OFFSETS else v
+            raw = v if kind == 2 else struct.pack(f"<{len(v)}{CODES[kind]}", *v)
+            if len(raw) > room:
+                place, extra = start + size + len(extra), extra + raw
+                raw = struct.pack("<Q" if big else "<I", place)
+            body += struct.pack("<HHQ" if big else "<HHI", tag, kind, len(v)) + raw.ljust(room, b"\0")
+        follows = plans[n + 1][1] if n + 1 < len(plans) else 0
+        whole = struct.pack("<Q" if big else "<H", len(entries)) + body + struct.pack("<Q" if big else "<I", follows) + extra
+        out[start : start + len(whole)] = whole
+    return bytes(out)
+
+
+def tile_grids(width: int, height: int, tile: int = 512) -> list[tuple[int, int]]:
+    """Rows and columns of tiles on each level."""
+    side, levels = pyramid(width, height, tile)
+    return [(-(-h // side), -(-w // side)) for w, h in levels]
+
+
+def in_file(grids: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(level, row, column) of tiles as they follow in a file: small overviews first, rows of tiles from above."""
+    for n in reversed(range(len(grids))):
+        for r in range(grids[n][0]):
+            for c in range(grids[n][1]):
+                yield n, r, c
+
+
+def write_cog(path: str, rows: Callable[[int, int], np.ndarray], width: int, height: int, geo: tuple = (None, None, None), tile: int = 512, nodata: float = float("nan"), how: int = DEFLATE) -> None:
+    """A small float32 cloud-optimized GeoTIFF from ``rows(y, h)``, which gives rows of the full image; overviews take every second row and column.
+
+    For one image that a process writes by itself, such as test data; its packed tiles
+    are held in memory. ``write_rasters`` writes those of tables.
+    """
+    side, levels = pyramid(width, height, tile)
+    grids = tile_grids(width, height, tile)
+    sizes, tiles = [np.zeros(g, np.int64) for g in grids], {}
+    for level, r, c in in_file(grids):
+        step, h = 1 << level, min(side, levels[level][1] - r * side)
+        picked = [rows(min(height - 1, (r * side + i) * step), 1) for i in range(h)] if level else [rows(r * side, h)]
+        part = np.concatenate(picked)[:, ::step][:, c * side : (c + 1) * side]
+        cells = np.full((side, side), nodata, "<f4")
+        cells[: part.shape[0], : part.shape[1]] = part
+        tiles[level, r, c] = packed_tile(cells, how)
+        sizes[level][r, c] = len(tiles[level, r, c])
+    part_path = f"{path}.part"
+    with open(part_path, "wb") as f:
+        f.write(heading(sizes, width, height, geo, tile, nodata, how))
+        for key in in_file(grids):
+            f.write(marked(tiles[key]))
+    os.replace(part_path, path)
+
+
+def cog_faults(f: BinaryIO | str, full: bool = False) -> list[str]:
+    """What keeps a file (or its local path) from being a cloud-optimized GeoTIFF; empty if nothing does.
+
+    With ``full`` also what its structural metadata promise is checked tile by tile: the
+    size before each tile, its last bytes again behind it, and the order of tiles.
+    """
+    if isinstance(f, str):
+        with open(f, "rb") as opened:
+            return cog_faults(opened, full)
+    f.seek(0)
+    images = directories(f)
     out, first = [], images[0]
     if not first.tiled:
         out.append("not tiled")
     if max(first.width, first.height) > 512 and len(images) < 2:
         out.append("no overviews")
     for n, i in enumerate(images):
-        if i.one(COMPRESSION) not in (NONE, LZW, DEFLATE, OLD_DEFLATE) or not i.tiled or len(i.tags[TILE_OFFSETS]) != -(-i.width // i.block[1]) * -(-i.height // i.block[0]):
+        if i.one(COMPRESSION) not in (NONE, LZW, DEFLATE, OLD_DEFLATE, ZSTD, PACKBITS) or not i.tiled or len(i.tags[TILE_OFFSETS]) != -(-i.width // i.block[1]) * -(-i.height // i.block[0]):
             out.append(f"directory {n} isn't a full set of tiles")
         if n and (i.width, i.height) != (-(-images[n - 1].width // 2), -(-images[n - 1].height // 2)):
             out.append(f"overview {n} isn't half as large as the one before")
@@ -339,4 +422,33 @@ def cog_faults(path: str) -> list[str]:
         out.append("directories lie behind tiles")
     if starts != sorted(starts, reverse=True):
         out.append("overviews lie behind the full image")
+    if full and not out:
+        out += _broken_promises(f, images)
+    return out
+
+
+def _broken_promises(f: BinaryIO, images: list[Image]) -> list[str]:
+    f.seek(0)
+    head = f.read(16)
+    at = 16 if struct.unpack(images[0].order + "H", head[2:4])[0] == 43 else 8
+    f.seek(at)
+    title = f.read(len(GHOST) - len(STRUCTURE))
+    if not title.startswith(b"GDAL_STRUCTURAL_METADATA_SIZE="):
+        return ["no structural metadata"]
+    says = f.read(int(title[30:36])).decode("latin-1")
+    facts = dict(x.split("=", 1) for x in says.strip().splitlines() if "=" in x)
+    out = []
+    if facts.get("KNOWN_INCOMPATIBLE_EDITION") == "YES":
+        out.append("edited since it was laid out")
+    for n, i in enumerate(images):
+        spots = [(k, o, c) for k, (o, c) in enumerate(zip(i.tags[TILE_OFFSETS], i.tags[TILE_COUNTS], strict=True)) if c]
+        if facts.get("BLOCK_ORDER") == "ROW_MAJOR" and [o for _, o, _ in spots] != sorted(o for _, o, _ in spots):
+            out.append(f"the tiles of directory {n} aren't in row order")
+        for k, o, c in spots:
+            f.seek(o - 4)
+            raw = f.read(c + MARKS)
+            if facts.get("BLOCK_LEADER") == "SIZE_AS_UINT4" and struct.unpack("<I", raw[:4])[0] != c:
+                out.append(f"tile {k} of directory {n} has another size before it")
+            if facts.get("BLOCK_TRAILER") == "LAST_4_BYTES_REPEATED" and raw[c : c + 4] != raw[c + 4 :]:
+                out.append(f"the last bytes of tile {k} of directory {n} aren't repeated")
     return out
