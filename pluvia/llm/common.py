@@ -30,21 +30,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor later costs a reread, not a
     recomputation. The folder goes when the driver's JVM ends. Shuffle files of
-    finished stages are released once nothing refers to them; the explicit
-    collection lets that happen now and not at some later full collection.
+    finished stages are released once nothing refers to them; with ``free`` an explicit
+    collection lets that happen now and not at some later full collection. Rounds
+    that shuffle little do without it.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/pluvia-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    gc.collect()
-    spark._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

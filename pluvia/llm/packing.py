@@ -22,7 +22,9 @@ END_OF_TEXT_ID = 50256
 #: Chunks of text whose ids a worker remembers.
 CACHE = 400_000
 #: Pieces of less than this part of a sequence are placed in runs of up to it.
-RUN = 8
+RUN = 16
+#: A gap goes into a sweep as up to so many parts (a power of two), each at least one and a half times the largest run that is left.
+PARTS = 16
 #: Bits of a run's number that hold the rank of its first piece; the others hold the size.
 RANK = 50
 
@@ -130,7 +132,7 @@ def sweep(gaps: DataFrame, rest: DataFrame) -> DataFrame:
     kinds = gaps.select("size", F.lit(0).alias("kind"), "id").union(rest.select("size", F.lit(1).alias("kind"), "id"))
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
     ranged = kinds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_steps, "size int, kind int, id long, part int, at long, level long, total long")
-    ranged = materialize(ranged, "ranged")
+    ranged = materialize(ranged, "ranged", free=False)
     ends = ranged.groupBy("part").agg(F.max_by("total", "at").alias("total")).withColumnRenamed("part", "of")
     before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = ends.select("of", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
@@ -138,7 +140,7 @@ def sweep(gaps: DataFrame, rest: DataFrame) -> DataFrame:
     rows = ranged.join(F.broadcast(starts), F.col("part") == F.col("of")).withColumn("level", F.col("level") + F.col("start"))
     rows = rows.select("kind", "id", "size", *[f("kind").over(level).alias(n) for n, f in (("next", F.lead), ("last", F.lag))], F.lead("id").over(level).alias("to"), F.lag("id").over(level).alias("by"), F.lead("size").over(level).alias("need"))
     opens, closes = (F.col("kind") == 0) & (F.col("next") == 1), (F.col("kind") == 1) & (F.col("last") == 0)
-    return materialize(rows.select("kind", "id", "size", F.when(opens, F.col("to")).when(closes, F.col("by")).alias("piece"), F.when(opens, F.col("need")).alias("taken")), "swept")
+    return materialize(rows.select("kind", "id", "size", F.when(opens, F.col("to")).when(closes, F.col("by")).alias("piece"), F.when(opens, F.col("need")).alias("taken")), "swept", free=False)
 
 
 def _halved(units: DataFrame) -> DataFrame:
@@ -161,11 +163,14 @@ def place(sizes: DataFrame, capacity: int = CAPACITY) -> list[DataFrame]:
     each gap at most one run, the largest that has it for its successor, and the gaps
     shrink. Where no gap holds even the smallest run that is left, runs are halved.
 
+    A gap that is several times the largest run goes into a sweep as several parts, so that
+    it may take several runs at once; what they leave is one gap again.
+
     New sequences open for what the gaps that still hold a piece can't take by their sizes
     alone, and otherwise only once no gap holds any piece that is left. Gaps too small for
-    any piece leave the game. Only counts, sums and extremes of a round reach the driver.
-    A gap takes a share of the capacity in each round, so that rounds grow neither with the
-    number of documents nor with that of pieces in a sequence.
+    any piece leave the game. Of a round only how many gaps and runs have each size reaches
+    the driver. A gap takes a share of the capacity in each round, so that rounds grow
+    neither with the number of documents nor with that of pieces in a sequence.
     """
     spark, half = sizes.sparkSession, capacity // 2
     big = sizes.where(F.col("size") > half)
@@ -175,38 +180,47 @@ def place(sizes: DataFrame, capacity: int = CAPACITY) -> list[DataFrame]:
     run = F.greatest(F.lit(1), F.floor(F.lit(capacity // RUN) / F.col("size"))).cast("long")
     units = ranked.where(F.col("rank") % run == 0).select((F.shiftleft(F.col("size").cast("long"), RANK) + F.col("rank")).alias("id"), (F.col("size") * F.least(run, F.col("group_rows") - F.col("rank"))).cast("int").alias("size"))
     units = materialize(units, "runs")
-    own = F.expr(f"shiftright(id, {RANK})")
+    own = F.expr(f"cast(shiftright(id, {RANK}) as int)")
 
-    def left(runs: DataFrame, free: DataFrame) -> Row:
-        """Of the runs: their number and sum, the least run and the least piece, and whether any has several pieces; of the gaps that hold a piece: their sum and the largest."""
-        facts = runs.agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.min("size").alias("least"), F.min(own).alias("piece"), F.max(F.col("size") > own).alias("several"))
-        rooms = free.groupBy("size").agg(F.count("*").alias("many"))  # a row for each size
-        got = facts.first()
-        room = rooms.where(F.col("size") >= (got.piece or 0)).agg(F.coalesce(F.sum(F.col("size") * F.col("many")), F.lit(0)).alias("room"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
-        return Row(**got.asDict(), **room.asDict())
+    def left() -> tuple[list[Row], list[Row]]:
+        """How many gaps and runs there are of each size (and size of its pieces)."""
+        runs = units.groupBy("size", own.alias("piece")).count()
+        rooms = gaps.groupBy("size", F.lit(0).alias("piece")).count()
+        rows = runs.union(rooms).collect()
+        return [r for r in rows if r.piece], [r for r in rows if not r.piece]
 
     taken: list[DataFrame] = []
-    now = left(units, gaps)
-    while now.n:
-        new = max(0, -(-(now.sum - now.room) // capacity))
-        if not new and now.least > now.largest:
-            if now.several:
-                units = materialize(_halved(units), "halved")
-                now = left(units, gaps)
+    runs, rooms = left()
+    while runs:
+        total, piece = sum(r.size * r["count"] for r in runs), min(r.piece for r in runs)
+        room = sum(r.size * r["count"] for r in rooms if r.size >= piece)
+        new = max(0, -(-(total - room) // capacity))
+        if not new and min(r.size for r in runs) > max((r.size for r in rooms), default=0):
+            if any(r.size > r.piece for r in runs):
+                units = materialize(_halved(units), "halved", free=False)
+                runs, rooms = left()
                 continue
-            new = -(-now.sum // capacity)
+            new = -(-total // capacity)
         if new:
             fresh = spark.range(-opened - new, -opened).select("id", F.lit(capacity).alias("size"))
             gaps, opened = gaps.union(fresh), opened + new
-        swept = sweep(gaps.where(F.col("size") >= now.piece), units)
-        taken.append(swept.where("kind = 0 and piece is not null").select(F.col("piece").alias("unit"), "taken", F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("size")).alias("offset")))
-        gaps = swept.where("kind = 0").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
+        few = F.greatest(F.lit(1), F.least(F.lit(PARTS), F.floor(2 * F.col("size") / (3 * max(r.size for r in runs))))).cast("int")
+        parts = gaps.where(F.col("size") >= piece).withColumn("few", few).select("id", "size", "few", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("nth"))
+        part = F.expr("size div few") + F.when(F.col("nth") == 0, F.col("size") % F.col("few")).otherwise(0)
+        swept = sweep(parts.select((F.col("id") * PARTS + F.col("nth")).alias("id"), part.cast("int").alias("size")), units)
+        # what a gap's parts took lies side by side from where the gap began
+        gap = Window.partitionBy("gap")
+        before = gap.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        took = swept.where("kind = 0").withColumn("gap", F.shiftright("id", PARTS.bit_length() - 1)).withColumn("nth", F.col("id") - F.col("gap") * PARTS)
+        took = took.select("gap", "nth", "piece", "taken", F.sum("size").over(gap).alias("room"), F.coalesce(F.sum("taken").over(gap), F.lit(0)).alias("all"), F.coalesce(F.sum("taken").over(before), F.lit(0)).alias("before"))
+        taken.append(took.where("piece is not null").select(F.col("piece").alias("unit"), "taken", F.col("gap").alias("sequence_id"), (F.lit(capacity) - F.col("room") + F.col("before")).alias("offset")))
+        gaps = took.where("nth = 0").select(F.col("gap").alias("id"), (F.col("room") - F.col("all")).cast("int").alias("size"))
         units = swept.where("kind = 1 and piece is null").select("id", "size")
-        now = left(units, gaps)
+        runs, rooms = left()
     if not taken:
         return []
-    runs = reduce(DataFrame.union, taken).withColumn("s", F.expr(f"shiftright(unit, {RANK})"))
-    each = runs.select("s", "unit", "sequence_id", "offset", F.explode(F.expr("sequence(0, cast(taken div s as int) - 1)")).alias("i"))
+    placed = reduce(DataFrame.union, taken).withColumn("s", F.expr(f"shiftright(unit, {RANK})"))
+    each = placed.select("s", "unit", "sequence_id", "offset", F.explode(F.expr("sequence(0, cast(taken div s as int) - 1)")).alias("i"))
     each = each.select(F.col("s").cast("int").alias("size"), (F.col("unit") - F.shiftleft("s", RANK) + F.col("i")).alias("rank"), "sequence_id", (F.col("offset") + F.col("i") * F.col("s")).cast("int").alias("offset"))
     return [ranked.join(each, ["size", "rank"]).select("id", "sequence_id", "offset")]
 
