@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import decode as D
 from ..functions import primitives as P
 from ..functions.longform import QUARTERS, STARTS, quarters_long
-from ..functions.months import MONTHS, SERIES, arrays_to_wide, column, complete, long_to_wide, months, tables_to_wide, wide_to_arrays, wide_to_long
+from ..functions.months import MONTHS, SERIES, arrays_to_wide, column, complete, long_to_wide, months, tables_to_wide, texts, wide_to_arrays, wide_to_long
 from ..operators.indicators import NAMES, STRICT, bioclim
 from ..sources.files import located
 from ..sources.raster import Grid, read_grid, read_months, read_rasters, write_bio, write_rasters
@@ -37,34 +37,34 @@ def _add(name: str, query: Query, sql: str) -> None:
 
 def _row(name: str, cells: Callable[[], dict], sql: dict[str, str], kind: str = "double", view: str = PX) -> None:
     def query(spark, sf_dir):
-        return wide(tuned(spark), sf_dir, view).select("pixel_id", *[c.cast(kind).alias(k) for k, c in cells().items()])
+        return wide(tuned(spark), sf_dir, view).select("pixel_id", *[F.expr(f"{c.cast(kind)} as {k}") for k, c in cells().items()])
 
     _add(name, query, O.select(sql, wide_sql(view), kind))
 
 
-_row("row_mean_tas", lambda: {"mean": P.row_mean(months("tas"))}, {"mean": O.row_mean(O.cols("tas"))})
-_row("row_sum_pr", lambda: {"total": P.row_sum(months("pr"))}, {"total": O.row_sum(O.cols("pr"))})
-_row("row_max_tasmax", lambda: {"most": P.row_max(months("tasmax"))}, {"most": O.row_max(O.cols("tasmax"))})
-_row("row_min_tasmin", lambda: {"least": P.row_min(months("tasmin"))}, {"least": O.row_min(O.cols("tasmin"))})
-_row("row_std_tas", lambda: {"std": P.row_std(months("tas"))}, {"std": O.row_std(O.cols("tas"))})
-_row("row_std_pr", lambda: {"std": P.row_std(months("pr"))}, {"std": O.row_std(O.cols("pr"))})
+_row("row_mean_tas", lambda: {"mean": P.row_mean(texts("tas"))}, {"mean": O.row_mean(O.cols("tas"))})
+_row("row_sum_pr", lambda: {"total": P.row_sum(texts("pr"))}, {"total": O.row_sum(O.cols("pr"))})
+_row("row_max_tasmax", lambda: {"most": P.row_max(texts("tasmax"))}, {"most": O.row_max(O.cols("tasmax"))})
+_row("row_min_tasmin", lambda: {"least": P.row_min(texts("tasmin"))}, {"least": O.row_min(O.cols("tasmin"))})
+_row("row_std_tas", lambda: {"std": P.row_std(texts("tas"))}, {"std": O.row_std(O.cols("tas"))})
+_row("row_std_pr", lambda: {"std": P.row_std(texts("pr"))}, {"std": O.row_std(O.cols("pr"))})
 _row(
     "elementwise_diff",
-    lambda: {f"diff_{m:02d}": x for m, x in zip(MONTHS, P.elementwise_diff(months("tasmax"), months("tasmin")), strict=True)},
+    lambda: {f"diff_{m:02d}": x for m, x in zip(MONTHS, P.elementwise_diff(texts("tasmax"), texts("tasmin")), strict=True)},
     {f"diff_{m:02d}": x for m, x in zip(MONTHS, O.diff(O.cols("tasmax"), O.cols("tasmin")), strict=True)},
 )
 _row(
     "quarter_sums_circular",
-    lambda: {f"q_{i:02d}": x for i, x in enumerate(P.quarter_sums(months("pr")))},
+    lambda: {f"q_{i:02d}": x for i, x in enumerate(P.quarter_sums(texts("pr")))},
     {f"q_{i:02d}": x for i, x in enumerate(O.quarters(O.cols("pr")))},
 )
-_row("quarter_argmax_pr", lambda: {"start": P.rolling_quarter_argmax(months("pr"))}, {"start": O.arg(O.cols("pr"), "max")}, "int", "px_part")
-_row("quarter_argmin_pr", lambda: {"start": P.rolling_quarter_argmin(months("pr"))}, {"start": O.arg(O.cols("pr"), "min")}, "int", "px_part")
-_row("quarter_argmax_tas", lambda: {"start": P.rolling_quarter_argmax(months("tas"))}, {"start": O.arg(O.cols("tas"), "max")}, "int")
-_row("quarter_argmin_tas", lambda: {"start": P.rolling_quarter_argmin(months("tas"))}, {"start": O.arg(O.cols("tas"), "min")}, "int")
+_row("quarter_argmax_pr", lambda: {"start": P.rolling_quarter_argmax(texts("pr"))}, {"start": O.arg(O.cols("pr"), "max")}, "int", "px_part")
+_row("quarter_argmin_pr", lambda: {"start": P.rolling_quarter_argmin(texts("pr"))}, {"start": O.arg(O.cols("pr"), "min")}, "int", "px_part")
+_row("quarter_argmax_tas", lambda: {"start": P.rolling_quarter_argmax(texts("tas"))}, {"start": O.arg(O.cols("tas"), "max")}, "int")
+_row("quarter_argmin_tas", lambda: {"start": P.rolling_quarter_argmin(texts("tas"))}, {"start": O.arg(O.cols("tas"), "min")}, "int")
 _row(
     "quarter_mean_wettest",
-    lambda: {"mean": P.quarter_mean(months("tas"), P.rolling_quarter_argmax(months("pr")))},
+    lambda: {"mean": P.quarter_mean(texts("tas"), P.rolling_quarter_argmax(texts("pr")))},
     {"mean": O.quarter_mean(O.cols("tas"), O.arg(O.cols("pr"), "max"))},
 )
 

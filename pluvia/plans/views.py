@@ -42,7 +42,7 @@ def _cells(v: View, month: int) -> dict[str, str]:
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One row per pixel, straight from the table in one aggregation."""
     v = VIEWS[name]
-    cells = [F.expr(x).alias(column(s, m)) for m in MONTHS for s, x in _cells(v, m).items()]
+    cells = [F.expr(f"{x} as {column(s, m)}") for m in MONTHS for s, x in _cells(v, m).items()]
     return spark.read.parquet(f"{sf_dir}/{v.table}.parquet").groupBy(F.col(v.pixel).cast("long").alias("pixel_id")).agg(*cells)
 
 
