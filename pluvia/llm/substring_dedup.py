@@ -13,10 +13,11 @@ is in three passes:
 3. The words that those windows cover go.
 
 Anchors decide only which windows are looked at: a collision there costs time and
-changes nothing. Windows are compared by 64-bit hashes of their words.
+changes nothing. Windows are compared by 128-bit hashes of their words.
 
 Rows in motion stand for chunks of documents, with packed arrays, so that an anchor
-costs eight bytes. A chunk sends one entry for a hash that several of its documents
+costs four bytes and its place, which is sent as the distance to the one before.
+A chunk sends one entry for a hash that several of its documents
 hold and settles the others itself, so a passage that a third of the documents share
 costs a bucket one entry a chunk.
 """
@@ -128,14 +129,32 @@ def _rows(kind, chunk, bucket=(), keys=(), at=(), docs=()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays + [pa.array(x, pa.binary()) for x in lists], ["kind", "bucket", "chunk", "keys", "at", "docs"])
 
 
-def _sent(ids: np.ndarray, ths: np.ndarray, w: Words, at: np.ndarray, keys: np.ndarray, buckets: int, exact: bool) -> Iterator[pa.RecordBatch]:
+def _heads(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a new key begins in sorted ``keys``, which one or two arrays make up."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _packed(at: np.ndarray) -> bytes:
+    """Ascending places as distances, byte by byte: the high bytes are zero and cost nothing once compressed."""
+    return np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _sent(ids: np.ndarray, ths: np.ndarray, w: Words, at: np.ndarray, keys: list[np.ndarray], buckets: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Questions to the buckets about the entries (word, key) of a chunk, what the chunk knows itself, and its directory."""
     chunk = xxhash.xxh64_intdigest(ids.tobytes() + ths.tobytes()) - (1 << 63)
     doc = np.searchsorted(w.first, at, "right") - 1
-    order = np.lexsort((at, ids[doc], keys))
-    at, keys, doc = at[order], keys[order], doc[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(keys)]])))
+    order = np.lexsort((at, ids[doc], *keys))
+    at, keys, doc = at[order], [k[order] for k in keys], doc[order]
+    head = _heads(keys)
+    run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(at)]])))
     first = ids[doc[head]][run] == ids[doc]  # of the document with the smallest doc_id
     if exact:
         tell, ask = at[~first], first
@@ -148,19 +167,19 @@ def _sent(ids: np.ndarray, ths: np.ndarray, w: Words, at: np.ndarray, keys: np.n
     home = int(chunk % buckets)
     if len(tell):
         yield _rows(_TELL, chunk, [home], at=[tell.astype("<u4").tobytes()])
-    at, keys, doc = at[ask], keys[ask], doc[ask]
-    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    at, doc, keys = at[ask], doc[ask], np.stack(keys, 1)[ask]
+    bucket = ((keys[:, 0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((at, bucket))
     at, keys, doc, bucket = at[order], keys[order], doc[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True)) if len(bucket) else []
-    packed_at, packed = at.astype("<u4"), keys if exact else keys.astype("<u4")
+    packed = keys if exact else keys.astype("<u4")
     dirs = []
     for a, b in spans if exact else ():
         d = np.unique(doc[a:b])
         dirs.append(zlib.compress(ids[d].tobytes() + w.first[d].astype("<u4").tobytes(), 1))
     if spans:
-        yield _rows(_ASK, chunk, [int(bucket[a]) for a, _ in spans], [packed[a:b].tobytes() for a, b in spans], [packed_at[a:b].tobytes() for a, b in spans], dirs)
+        yield _rows(_ASK, chunk, [int(bucket[a]) for a, _ in spans], [packed[a:b].tobytes() for a, b in spans], [_packed(at[a:b]) for a, b in spans], dirs)
     yield _rows(_DIR, chunk, [home], docs=[ids.tobytes() + ths.tobytes() + w.first[:-1].astype("<u4").tobytes()])
 
 
@@ -178,7 +197,7 @@ def _anchors(buckets: int) -> Callable:
             for j in range(ANCHOR):
                 keys = keys * _Q + h[at + j]
             if len(at):
-                yield from _sent(ids, ths, w, at, _mix(keys), buckets, False)
+                yield from _sent(ids, ths, w, at, [_mix(keys)], buckets, False)
 
     return run
 
@@ -195,11 +214,11 @@ def _windows(buckets: int) -> Callable:
                     mark[np.maximum(pos - d, 0)] = True
                 at.append(np.flatnonzero(mark[: max(0, w.counts[i] - WINDOW + 1)]) + w.first[i])
             at = np.concatenate(at)
-            digest, buf = xxhash.xxh3_64_intdigest, w.buf
+            digest, buf = xxhash.xxh3_128_digest, w.buf
             pairs = zip(w.starts[at].tolist(), w.ends[at + WINDOW - 1].tolist(), strict=True)
-            keys = np.fromiter((digest(buf[a:b]) for a, b in pairs), np.uint64, len(at))
+            keys = np.frombuffer(b"".join(digest(buf[a:b]) for a, b in pairs), "<u8").reshape(-1, 2)
             if len(at):
-                yield from _sent(ids, ths, w, at, keys, buckets, True)
+                yield from _sent(ids, ths, w, at, [keys[:, 0], keys[:, 1]], buckets, True)
 
     return run
 
@@ -210,23 +229,24 @@ def _answers(exact: bool) -> Callable:
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        keys = np.concatenate([np.frombuffer(k, "<u8" if exact else "<u4") for _, k, _, _ in rows])
-        at = np.concatenate([np.frombuffer(a, "<u4") for _, _, a, _ in rows])
-        size = [len(a) // 4 for _, _, a, _ in rows]
+        raw = np.frombuffer(b"".join(k for _, k, _, _ in rows), "<u8" if exact else "<u4")
+        keys = list(raw.reshape(-1, 2).T) if exact else [raw]
+        places = [_unpacked(a) for _, _, a, _ in rows]
+        at, size = np.concatenate(places), [len(a) for a in places]
         place = np.repeat(np.arange(len(rows)), size)
         if exact:
             who = []
-            for _, _, a, d in rows:
+            for a, (*_, d) in zip(places, rows, strict=True):
                 raw = zlib.decompress(d)
                 n = len(raw) // 12
-                who.append(np.frombuffer(raw, "<i8", n)[np.searchsorted(np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(a, "<u4"), "right") - 1])
+                who.append(np.frombuffer(raw, "<i8", n)[np.searchsorted(np.frombuffer(raw, "<u4", n, 8 * n), a, "right") - 1])
             who = np.concatenate(who)
         else:
             who = np.array([c for c, *_ in rows], np.int64)[place]
-        order = np.lexsort((who, keys))
-        keys, who = keys[order], who[order]
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(keys)]])))
+        order = np.lexsort((who, *keys))
+        keys, who = [k[order] for k in keys], who[order]
+        head = _heads(keys)
+        run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(who)]])))
         later = who != who[head][run]
         if not exact:
             later = np.isin(run, np.unique(run[later]))
@@ -234,7 +254,7 @@ def _answers(exact: bool) -> Callable:
         hit = hit[np.argsort(place[hit], kind="stable")]
         cuts = np.flatnonzero(np.diff(place[hit])) + 1
         for part in np.split(hit, cuts) if len(hit) else ():
-            yield _rows(_TELL, rows[place[part[0]]][0], [0], at=[at[part].tobytes()])
+            yield _rows(_TELL, rows[place[part[0]]][0], [0], at=[at[part].astype("<u4").tobytes()])
 
     def run(batches):
         rows, now = [], None

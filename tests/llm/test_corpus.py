@@ -799,3 +799,26 @@ def test_long_and_short_pieces_come_near_best_fit_decreasing(spark):
         room[fit] -= n
     n, sweeps = _sequences(spark, lengths)
     assert n <= 1.005 * len(room) + 1 and sweeps <= 40
+
+
+def test_windows_that_share_half_of_a_hash_stay_apart():
+    """Keys of two halves: entries count as equal only if both are, within a chunk and in a bucket."""
+    ids, ths = np.array([7, 3, 5]), np.zeros(3, np.int64)
+    words = substring_dedup.Words([b"a b c", b"d e", b"f g"])
+    at, high, low = np.arange(7), np.array([1, 2, 3, 1, 2, 3, 9], np.uint64), np.array([5, 5, 5, 5, 6, 5, 5], np.uint64)
+    # key (1, 5) is in 7 and 3, key (3, 5) in 7 and 5; 2 has two second halves
+    told = [r for b in substring_dedup._sent(ids, ths, words, at, [high, low], 1, True) for r in b.to_pylist() if r["kind"] == substring_dedup._TELL]
+    assert np.frombuffer(told[0]["at"], "<u4").tolist() == [0, 2]
+    other = substring_dedup.Words([b"h i j"])
+    asks = [
+        *substring_dedup._sent(ids, ths, words, at, [high, low], 1, True),
+        *substring_dedup._sent(np.array([9]), ths[:1], other, np.arange(3), [np.array([1, 2, 9], np.uint64), np.array([6, 6, 5], np.uint64)], 1, True),
+    ]
+    asks = [b for b in asks if b.column(0)[0].as_py() == substring_dedup._ASK]
+    told = [r for b in substring_dedup._answers(True)(iter(asks)) for r in b.to_pylist()]
+    assert [sorted(np.frombuffer(r["at"], "<u4").tolist()) for r in told] == [[1, 2]]
+
+
+def test_places_packed_by_distances():
+    for at in ([], [0], [5, 6, 70_000, 2**32 - 1]):
+        assert substring_dedup._unpacked(substring_dedup._packed(np.array(at, np.int64))).tolist() == at
