@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pluvia.functions import primitives as P
-from pluvia.functions.months import MONTHS, SERIES, arrays_to_wide, check_wide, column, long_to_wide, months, wide_to_long
+from pluvia.functions.months import MONTHS, SERIES, arrays_to_wide, check_wide, column, long_to_wide, months, wide_to_long, texts
 from pluvia.operators.indicators import NAMES, bioclim
 from pluvia.plans.session import tuned
 from pluvia.streaming.stream import bioclim_stream
@@ -199,3 +199,14 @@ def test_queries_match_their_sql(spark):
 
 
 _ = (MONTHS, column)
+
+def test_primitives_of_columns_and_of_texts_agree(spark):
+    rows = [(i, *[float((i * 7 + m * m) % 11) if (i + m) % 9 else None for m in range(12)]) for i in range(30)]
+    wide = spark.createDataFrame(rows, ["pixel_id", *[f"tas_{m + 1:02d}" for m in range(12)]])
+
+    def cells(c, start):
+        one = [P.row_sum, P.row_mean, P.row_max, P.row_min, P.row_std, P.rolling_quarter_argmax, P.rolling_quarter_argmin]
+        return [*[f(c) for f in one], P.quarter_mean(c, start), *P.quarter_sums(c)]
+
+    columns, sql = cells(months("tas"), F.lit(11)), cells(texts("tas"), "11")
+    assert wide.select(*columns).collect() == wide.selectExpr(*sql).collect()
