@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
 #: Chunks of text whose ids a worker remembers.
 CACHE = 400_000
+#: Bytes of text that are cut into chunks at once.
+AT_ONCE = 16 << 20
 #: Pieces of less than this part of a sequence are placed in runs of up to it.
 RUN = 16
 #: A gap goes into a sweep as up to so many parts (a power of two), each at least one and a half times the largest run that is left.
@@ -29,50 +32,101 @@ PARTS = 16
 RANK = 50
 
 
-def encoder(path: str | None = None) -> Callable[[str], bytes]:
+def _white(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+
+
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters of UTF-8 ``data`` that end before the places ``at`` are, for sure, no white space."""
+    last = data[at - 1]
+    solid = last > 0x20
+    # wide white space is U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000; what begins like it counts as such
+    wide = np.flatnonzero(last >= 0x80)
+    second, third = data[np.maximum(at[wide] - 2, 0)], data[np.maximum(at[wide] - 3, 0)]
+    solid[wide] = ~((second == 0xC2) | ((third == 0xE1) & (second == 0x9A)) | ((third == 0xE2) & (second <= 0x81)) | ((third == 0xE3) & (second == 0x80)))
+    return solid
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large string or binary array without nulls, and where its values begin and the last one ends."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+class Encoder:
     """Ids as little-endian 32-bit integers, equal to those of byte_bpe_50k.json by ``tokenizers`` without special tokens added.
 
-    The same vocabulary in tiktoken is faster. A text is split before each single
-    space between two other characters, where the tokenizer's pattern always splits
-    too, and the ids of pieces seen before are remembered.
+    The same vocabulary in tiktoken is faster. Texts are cut before white space that
+    follows another character, where the tokenizer's pattern always splits, as its only
+    matches with white space after the first character are white space throughout.
     """
-    import public_tokenizers as P
-    import tiktoken
-
-    path = path or P.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    class Known(dict):
-        def __missing__(self, piece: str) -> bytes:
-            ids = np.array(plain(piece), "<u4").tobytes()
-            if len(piece) < 64:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[piece] = ids
-            return ids
-
-    known = Known()
-
-    def encode(text: str) -> bytes:
-        if END_OF_TEXT in text:
+
+    def __init__(self, path: str | None = None):
+        import public_tokenizers as P
+        import tiktoken
+
+        with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.widths[list(ranks.values())] = [len(a) for a in ranks]
+        self.plain = lambda text: np.asarray(bpe.encode_to_numpy(text, disallowed_special=()), "<u4")
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of one text; those of short texts are remembered."""
+        ids = self.known.get(text)
+        if ids is None:
             end = np.array([END_OF_TEXT_ID], "<u4").tobytes()
-            return end.join(map(encode, text.split(END_OF_TEXT)))
-        parts = text.split(" ")
-        pieces, run, last = [], [parts[0]], parts[0][-1:]
-        for p in parts[1:]:
-            # only between two characters that are no white space is a cut safe
-            if p and last and not p[0].isspace() and not last.isspace():
-                pieces.append(" ".join(run))
-                run = ["", p]
-            else:
-                run.append(p)
-            last = p[-1:] or " "
-        pieces.append(" ".join(run))
-        return b"".join(map(known.__getitem__, pieces))
-
-    return encode
+            ids = end.join(self.plain(t).tobytes() for t in text.split(END_OF_TEXT))
+            if len(text) < 64:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[text] = ids
+        return ids
+
+    def _distinct(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each of ``chunks`` (large binary, all different).
+
+        Chunks from white space to a character that is none split from each other
+        where they meet, so that one call encodes them all.
+        """
+        data, ends = _bytes_of(chunks)
+        joint = _white(data[ends[:-1]]) & _solid(data, ends[1:])
+        joint &= ~pc.match_substring(chunks, END_OF_TEXT.encode()).to_numpy(zero_copy_only=False)
+        mask = pa.array(joint)
+        text, cuts = _bytes_of(chunks.filter(mask))
+        ids = self.plain(text.tobytes().decode())
+        at = np.searchsorted(np.cumsum(self.widths[ids]), cuts, side="right") * 4
+        one_call = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(ids)])
+        alone = pa.array([self(c.decode()) for c in chunks.filter(pc.invert(mask)).to_pylist()], pa.large_binary())
+        order = np.where(joint, np.cumsum(joint) - 1, len(one_call) + np.cumsum(~joint) - 1)
+        return pa.concat_arrays([one_call, alone]).take(pa.array(order))
+
+    def many(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of ``texts`` (null: none) one after another, and the places in bytes where each text's begin and the last ones end.
+
+        Each different chunk of all texts is encoded once, and Arrow puts the ids in order.
+        """
+        data, ends = _bytes_of(pc.fill_null(texts.cast(pa.large_string()), ""))
+        if not len(data):
+            return memoryview(b""), [0] * len(ends)
+        first = np.append(_white(data), True)
+        first[0] = False
+        at = np.flatnonzero(first)
+        first[at] = _solid(data, at)
+        first[ends] = True
+        cuts = np.flatnonzero(first)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        ids, places = _bytes_of(self._distinct(chunks.dictionary).take(chunks.indices))
+        return memoryview(ids), places[np.searchsorted(cuts, ends)].tolist()
+
+
+@cache
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of a tiktoken file, by default the public byte_bpe_50k; a worker keeps it from task to task."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -81,12 +135,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     A null or empty text is the end mark alone. Null doc_ids and repeated rows stay, an empty table gives no pieces.
     """
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of ``batches`` in order, with texts of about AT_ONCE bytes in each."""
+        for b in batches:
+            nth = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(), dtype=np.int64) // AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), b.num_rows]
+            yield from (b.slice(a, z - a) for a, z in zip(edges, edges[1:], strict=False))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([EOS], "<u4").tobytes()
-        for b in batches:
+        for b in parts(batches):
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            data, at = encode.many(b.column(1))
+            for doc, left, right in zip(b.column(0).to_pylist(), at, at[1:], strict=False):
+                ids = data[left:right].tobytes() + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 rows += [(doc, i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]

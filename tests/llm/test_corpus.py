@@ -489,6 +489,39 @@ def test_long_blanks_are_tokenized_in_linear_time():
     assert np.frombuffer(packing.encoder()(text), "<u4").tolist() == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_together():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    bits = [*" \n\t\r\v\f\x1c\x1f\0\x7f'A", *"\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\ufeff\u2026\u201c\u3002", "  ", "ab", "\xe9", "\xe0", "\u4e2d", "\u1ec7", "\U0001f600", "<|endoftext|>", "<|endo", "'s", "12", "!!"]
+    texts = [None if rng.random() < 0.05 else "".join(rng.choices(bits, k=rng.choice([0, 1, 2, 3, 9, 30]))) for _ in range(3000)]
+    encode = packing.Encoder()
+    for some in (texts, [None, ""], [], ["x"], [" x", None, "  y "]):
+        ids, at = encode.many(pa.array([*texts[:5], *some], pa.string()).slice(5))
+        assert [np.frombuffer(ids[a:z], "<u4").tolist() for a, z in zip(at, at[1:], strict=False)] == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_equal_words_of_a_batch_are_encoded_once():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeinrst", k=9)) for _ in range(500)]
+    texts = [" ".join(["The", *rng.choices(words, k=400)]) for _ in range(300)]
+    encode, given = packing.Encoder(), []
+    plain = encode.plain
+    encode.plain = lambda text: given.append(len(text)) or plain(text)
+    ids, at = encode.many(pa.array(texts))
+    # one call for all words with a space before them, and one for the word that begins texts
+    assert sorted(given) == [3, sum(len(w) + 1 for w in set(words))]
+    assert bytes(ids[at[7] : at[8]]) == encode(texts[7])
+
+
+def test_pieces_of_a_batch_in_parts(spark, docs, monkeypatch):
+    want = Counter(map(tuple, packing.pieces(docs, capacity=64).collect()))
+    monkeypatch.setattr(packing, "AT_ONCE", 500)
+    assert Counter(map(tuple, packing.pieces(docs.coalesce(1), capacity=64).collect())) == want
+
+
 @pytest.mark.parametrize("part", [2048, 4])
 def test_embeddings(spark, part):
     rng = np.random.default_rng(1)
